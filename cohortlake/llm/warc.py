@@ -179,9 +179,9 @@ def op8_index_first_warc(spark, sf_dir: str) -> DataFrame:
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS payload, sha1(coalesce(html, '')) AS h FROM pages),
 b AS (SELECT page_id, h, CAST(strlen(payload) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS best FROM p),
-bits AS (SELECT page_id, best, payload_bytes, array_to_string(list_transform(range(40), i -> substr('0000000100100011010001010110011110001001101010111100110111101111', CAST(4 * (instr('0123456789abcdef', substr(h, CAST(i + 1 AS INTEGER), 1)) - 1) + 1 AS INTEGER), 4)), '') AS bit FROM b)
+bits AS (SELECT page_id, best, payload_bytes, array_to_string(list_transform(range(40), lambda i: substr('0000000100100011010001010110011110001001101010111100110111101111', CAST(4 * (instr('0123456789abcdef', substr(h, CAST(i + 1 AS INTEGER), 1)) - 1) + 1 AS INTEGER), 4)), '') AS bit FROM b)
 SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(substr(bit, CAST(5 * i + 1 AS INTEGER), 1) AS INTEGER) + 8 * CAST(substr(bit, CAST(5 * i + 2 AS INTEGER), 1) AS INTEGER) + 4 * CAST(substr(bit, CAST(5 * i + 3 AS INTEGER), 1) AS INTEGER) + 2 * CAST(substr(bit, CAST(5 * i + 4 AS INTEGER), 1) AS INTEGER) + CAST(substr(bit, CAST(5 * i + 5 AS INTEGER), 1) AS INTEGER) AS INTEGER), 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + 16 * CAST(substr(bit, CAST(5 * i + 1 AS INTEGER), 1) AS INTEGER) + 8 * CAST(substr(bit, CAST(5 * i + 2 AS INTEGER), 1) AS INTEGER) + 4 * CAST(substr(bit, CAST(5 * i + 3 AS INTEGER), 1) AS INTEGER) + 2 * CAST(substr(bit, CAST(5 * i + 4 AS INTEGER), 1) AS INTEGER) + CAST(substr(bit, CAST(5 * i + 5 AS INTEGER), 1) AS INTEGER) AS INTEGER), 1)), '') AS payload_digest,
   CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = best THEN NULL ELSE best END AS refers_to
 FROM bits
