@@ -69,7 +69,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, simila
         F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda j: F.struct(j.alias("j"), F.get(F.col("c"), F.col("q") + j).alias("kind"), F.get(F.col("w"), F.col("q") + j).alias("value"))),
         lambda s: (s["kind"] >= NUM) & (s["kind"] <= UNIT),
     )
-    windows = items.select("item_id", "w", "c", F.posexplode(_windows("c", width)).alias("q", "h")).where(literal >= MIN_LITERALS)
+    windows = items.select("item_id", "w", "c", F.posexplode_outer(_windows("c", width)).alias("q", "h")).where(F.col("h").isNotNull() & (literal >= MIN_LITERALS))
     windows = work_table(windows.select("item_id", "q", "h", slots.alias("slots")), "benchmark")
     counts = windows.groupBy("item_id").agg(F.count("*").alias("n_windows"))
     n = windows.count()
@@ -77,7 +77,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, simila
 
     rows = docs.select("doc_id", F.xxhash64("text", F.lit("leak")).alias("_cl_text"), F.col("text").alias("_cl_raw"))
     codes = rows.select("doc_id", "_cl_text", tokens_of(F.col("_cl_raw")).alias("w")).select("doc_id", "_cl_text", canonical("w").alias("c"))
-    long = codes.select("doc_id", "_cl_text", _windows("c", width).alias("hs")).select("doc_id", "_cl_text", F.posexplode("hs").alias("p", "h"))
+    # the outer form: for the inner one a filter on the array's size would be pushed below and recompute it for each window
+    long = codes.select("doc_id", "_cl_text", _windows("c", width).alias("hs")).select("doc_id", "_cl_text", F.posexplode_outer("hs").alias("p", "h"))
     hits = long.join(small(windows.select("h", "item_id", "q")), "h").select("doc_id", "_cl_text", "item_id", "q", "p").distinct()
     hits = work_table(hits, "hits")
     # only pairs that can reach the similarity go on
