@@ -1,11 +1,12 @@
 """The corpus queries and their SQL; ``__spark_entry__`` adds them where this subpackage is present."""
 
-from . import chat, decontaminate, line_dedup, mixing, quality_rules, sharding, warc
+from . import chat, decontaminate, line_dedup, minhash, mixing, quality_rules, sharding, warc
 
 QUERIES = {
     "op1_learned_quality_rules": quality_rules.op1_learned_quality_rules,
     "op4_bloom_line_dedup": line_dedup.op4_bloom_line_dedup,
     "op5_sampled_splitter_shards": sharding.op5_sampled_splitter_shards,
+    "op6_circulant_minhash": minhash.op6_circulant_minhash,
     "op7_hypergeometric_mix": mixing.op7_hypergeometric_mix,
     "op8_index_first_warc": warc.op8_index_first_warc,
     "op9_template_decontamination": decontaminate.op9_template_decontamination,
