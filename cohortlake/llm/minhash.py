@@ -7,8 +7,9 @@ thus make all 112 coordinates.  28 bands of 4 coordinates are the candidate buck
 
 Only distinct sets take part (exact copies are one node).  Links are confirmed on full sets and never enumerated within
 a bucket: every member is compared with two centres of its bucket first and linked sets are joined into components; only
-pairs of a bucket whose components still differ are compared after that, which leaves out all pairs inside a group of
-near copies and still tests every pair that could join two components.
+pairs of a bucket whose components still differ are compared after that (in large buckets block by block, returning
+links and no pairs), which leaves out all pairs inside a group of near copies and still tests every pair that could join
+two components.
 """
 
 from __future__ import annotations
@@ -21,13 +22,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHash, hash_words, mix64, shingle_hashes, small_batches, table, work_table
+from .common import GOLDEN, WordHash, hash_words, mix64, n_shuffle, shingle_hashes, small_batches, table, work_table
 from .components import components
 
 BANDS, ROWS = 28, 4
 COORDINATES = BANDS * ROWS
 WIDTH, SIMILARITY = 5, 80  # words a shingle; percent
 CHUNK = 512
+PAIRS_PER_BUCKET = 2048  # beyond it a bucket's last comparisons are made block by block
+BLOCK_BYTES = 512 << 10
 
 
 def shingle_set(text: bytes | None, width: int, memo: WordHash) -> np.ndarray:
@@ -149,6 +152,51 @@ class Verifier:
 
         return work_table(both.mapInArrow(compare, "a bigint, b bigint"), "confirmed")
 
+    def links_in_zones(self, zones: DataFrame) -> DataFrame:
+        """Links between components inside large zones (zone, node, comp), without a row for each pair.
+
+        Sets are packed into blocks of about ``BLOCK_BYTES``; the nodes outside a zone's main component, in blocks of
+        their own, meet every block of the zone, and a task that compares two blocks returns at most one link for each
+        of its nodes and components.  No comparison is left out.
+        """
+        percent, spark = self.percent, zones.sparkSession
+        zones = work_table(zones, "zones")
+        sets = work_table(self.sets(zones.select("node").distinct()).dropDuplicates(["node"]), "zone_sets")
+        rows = zones.join(sets, "node")
+        total = rows.groupBy("zone").agg(F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES).cast("int").alias("blocks"))
+        item = F.struct("node", "comp", "shingles")
+        rows = rows.join(total, "zone").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
+        blocks = rows.groupBy("zone", "block").agg(F.collect_list(item).alias("all"))
+        odd = rows.where("comp != zone").groupBy("zone", "block").agg(F.collect_list(item).alias("odd")).drop("block")
+        both = odd.join(blocks, "zone").select("odd", "all").repartition(4 * n_shuffle(spark))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                found: dict[tuple[int, int], tuple[int, int]] = {}
+                for odd_, all_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    flat = [np.frombuffer(y["shingles"], dtype=np.uint64) for y in all_]
+                    size = np.array([len(y) for y in flat])
+                    start, stream = np.concatenate([[0], np.cumsum(size)[:-1]]), np.concatenate(flat)
+                    for x in odd_:
+                        s = np.frombuffer(x["shingles"], dtype=np.uint64)
+                        at = np.searchsorted(s, stream)
+                        inter = np.add.reduceat((s[np.minimum(at, len(s) - 1)] == stream).astype(np.int64), start)
+                        for i in np.flatnonzero(100 * inter >= percent * (len(s) + size - inter)):
+                            if all_[i]["comp"] != x["comp"]:
+                                found.setdefault((x["node"], all_[i]["comp"]), (x["node"], all_[i]["node"]))
+                pairs = list(found.values())
+                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+        small_batches(spark, 4)  # rows of two blocks each
+        out = work_table(both.mapInArrow(compare, "a bigint, b bigint"), "zone_links")
+        small_batches(spark)
+        return out
+
+
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """(bucket, node, comp): the component that each member of a bucket belongs to so far."""
+    return members.select("bucket", "node").join(components(links), "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+
 
 def _pairs(x: DataFrame) -> DataFrame:
     return x.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -169,26 +217,31 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARI
     nodes = signed.where(F.col("_cl_node").isNotNull()).groupBy(F.col("_cl_node").alias("node")).agg(F.min("doc_id").alias("rep"), F.first("_cl_sig").alias("sig"))
     nodes = work_table(nodes, "nodes")
     members = _buckets(nodes)
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("n > 1")
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = work_table(members.join(sizes, "bucket"), "members")
+    # a node whose buckets are crowded lies in the middle of its group: the best centre
+    score = members.groupBy("node").agg((F.sum("n") + F.pmod(F.col("node"), F.lit(1_000_003)) / F.lit(2_000_006.0)).alias("score"))
+    centres = members.join(score, "node").groupBy("bucket").agg(F.max_by("node", "score").alias("middle"), F.max("node").alias("high"))
     verify = Verifier(docs, nodes, width, percent)
-    stars = members.select(F.col("node").alias("x"), F.explode(F.array("low", "high")).alias("y"))
+    stars = members.join(centres, "bucket").select(F.col("node").alias("x"), F.explode(F.array("middle", "high")).alias("y"))
     links = verify.links(_pairs(stars))
-    for round_ in range(2):
-        comp = components(links)
-        placed = members.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
-        mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("other"), F.count("*").alias("n")).where("lo != hi").select("bucket", "other", "n")
-        placed = placed.join(mixed, "bucket")
-        if round_ == 0:  # large buckets: one more centre each, a different one in each bucket
-            more = placed.where("n > 64").select(F.col("node").alias("x"), F.col("other").bitwiseXOR(F.col("bucket")).alias("y"))
-            fresh = _pairs(more)
-        else:  # what is still apart: members outside their bucket's main component against the rest of the bucket
-            placed = work_table(placed.select("bucket", "node", "comp"), "placed")
-            count = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-            main = count.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m")).select("bucket", F.col("m.comp").alias("main"))
-            outside = placed.join(main, "bucket").where("comp != main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
-            fresh = _pairs(outside.join(placed.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy")), "bucket").where("cx != cy").select("x", "y"))
-        links = work_table(links.unionByName(verify.links(fresh)), "links")
+    # large buckets that are still mixed: one more centre each, a different one in each bucket
+    placed = _placed(members, links)
+    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("other"), F.count("*").alias("n")).where("lo != hi and n > 64")
+    more = placed.join(mixed.select("bucket", "other"), "bucket").select(F.col("node").alias("x"), F.col("other").bitwiseXOR(F.col("bucket")).alias("y"))
+    links = work_table(links.unionByName(verify.links(_pairs(more))), "links")
+    # what is still apart: members outside their bucket's main component against the rest of the bucket
+    placed = work_table(_placed(members, links), "placed")
+    count = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
+    main = count.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("n")).where("m.c < n")
+    main = main.select("bucket", F.col("m.comp").alias("main"), (F.col("n") * (F.col("n") - F.col("m.c"))).alias("work"))
+    apart = work_table(placed.join(main, "bucket"), "apart")
+    few = apart.where(F.col("work") <= PAIRS_PER_BUCKET)
+    outside = few.where("comp != main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
+    fresh = _pairs(outside.join(few.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy")), "bucket").where("cx != cy").select("x", "y"))
+    links = links.unionByName(verify.links(fresh))
+    zones = apart.where(F.col("work") > PAIRS_PER_BUCKET).select(F.col("main").alias("zone"), "node", "comp").distinct()
+    links = work_table(links.unionByName(verify.links_in_zones(zones)), "links")
     comp = components(links)
     whole = nodes.select("node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
