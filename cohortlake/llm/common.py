@@ -53,7 +53,7 @@ def work_table(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` once to shared storage and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
