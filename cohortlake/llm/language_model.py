@@ -14,7 +14,8 @@ asks for its distinct trigrams only; the distinct requests meet the sharded coun
 and each block gets its answers back and adds up its documents' log probabilities.  What is shuffled is the token ids
 once and the requests: linear in the input; rows per document and n-gram, several times the input, are never made.
 
-Verdict.  The bound of a language is a high quantile of the perplexities of its trusted documents times a margin.  A
+Verdict.  One in ``HOLD_OUT`` trusted documents is not counted but calibrates: the bound of a language is a high quantile
+of the perplexities of these, which the model has not seen, times a margin.  A
 document is kept if its perplexity is within the bound, or if all its tokens together exceed it by at most ``SLACK``
 nats, so that a few rare words do not decide over a short text.
 """
@@ -40,7 +41,8 @@ FIRST_CLASS, FIRST_WORD = 4, 512 - VOCABULARY  # shapes between them
 BLOCK_BYTES = 8 << 20
 HIGH, MARGIN, SLACK = 0.995, 1.25, 12.0
 BROADCAST_IDS = 4_000_000  # 32 MB of ids; more are joined by a shuffle
-MIN_TRUSTED = 30  # a language with fewer trusted documents is judged by the quantiles of all
+HOLD_OUT = 5
+MIN_TRUSTED = 30  # a language with fewer held-out documents is judged by the quantile of all
 
 
 def shape_class(word: bytes) -> int:
@@ -242,7 +244,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     A text without words (or null) has no perplexity and is not kept.  A null language is a language of its own.  Labels
     may repeat a doc_id; trusted are the documents with a label of quality 1.  Without trusted documents there is no
-    model, perplexities are null and every text with words is kept.  Extra columns pass through.
+    model, perplexities are null and every text with words is kept; without held-out ones there is no bound.  Extra columns pass through.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -256,11 +258,12 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     if not words:
         out = coded.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], (F.length("_cl_tokens") / 2).cast("long").alias("n_tokens"), *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "high")])
         return out.withColumn("kept", F.col("n_tokens") > 0)
-    model = KneserNey(trigram_counts(coded.where("_cl_trusted")))
+    held = F.col("_cl_trusted") & (F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HOLD_OUT)) == 0)
+    model = KneserNey(trigram_counts(coded.where(F.col("_cl_trusted") & ~held)))
     scored = work_table(perplexities(coded, model), "scored")
-    good = scored.where("_cl_trusted and perplexity is not null")
+    good = scored.where(held & F.col("perplexity").isNotNull())
     per = good.groupBy("lang").agg(F.percentile_approx("perplexity", HIGH, 10_000).alias("q"), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED)
-    every = good.agg(F.percentile_approx("perplexity", HIGH, 10_000)).first()[0]
+    every = good.agg(F.percentile_approx("perplexity", HIGH, 10_000)).first()[0] or float("inf")
     bounds = work_table(per.select(F.col("lang").alias("_cl_lang"), (F.col("q") * MARGIN).alias("high")), "bounds")
     bounds = F.broadcast(bounds) if bounds.count() <= 10_000 else bounds
     out = scored.join(bounds, F.col("lang").eqNullSafe(F.col("_cl_lang")), "left")
