@@ -1,10 +1,11 @@
 """The corpus queries and their SQL; ``__spark_entry__`` adds them where this subpackage is present."""
 
-from . import chat, decontaminate, language_model, line_dedup, minhash, mixing, quality_rules, sharding, warc
+from . import chat, decontaminate, language_model, line_dedup, minhash, mixing, quality_rules, sharding, substring_dedup, warc
 
 QUERIES = {
     "op1_learned_quality_rules": quality_rules.op1_learned_quality_rules,
     "op2_kneser_ney_classifier": language_model.op2_kneser_ney_classifier,
+    "op3_compact_window_passages": substring_dedup.op3_compact_window_passages,
     "op4_bloom_line_dedup": line_dedup.op4_bloom_line_dedup,
     "op5_sampled_splitter_shards": sharding.op5_sampled_splitter_shards,
     "op6_circulant_minhash": minhash.op6_circulant_minhash,
