@@ -21,10 +21,10 @@ def axis_totals(cells: DataFrame, axis: str) -> DataFrame:
 def auto_mcmc(cells: DataFrame) -> DataFrame:
     """Chain length from rarity: 40,000 for well filled cells up to 120,000 for empty ones, rounded half to even to thousands."""
     y = F.col("cases").cast("double")
-    stats = cells.agg(F.avg(F.when(y == 0, 1.0).otherwise(0.0)).alias("zero_frac"), F.avg(F.when(y <= 5, 1.0).otherwise(0.0)).alias("few_frac"))
+    stats = cells.where(F.col("cases").isNotNull()).agg(F.avg(F.when(y == 0, 1.0).otherwise(0.0)).alias("zero_frac"), F.avg(F.when(y <= 5, 1.0).otherwise(0.0)).alias("few_frac"))
     rarity = F.greatest(F.col("zero_frac"), F.col("few_frac") / 2)
     n = F.bround(40.0 * (1 + 2 * F.least(rarity, F.lit(1.0)))) * 1000
-    return stats.select("zero_frac", "few_frac", F.coalesce(n, F.lit(80000.0)).cast("long").alias("n_iter"))
+    return stats.select("zero_frac", "few_frac", F.when(F.col("zero_frac").isNull(), F.lit(80000.0)).otherwise(n).cast("long").alias("n_iter"))
 
 
 def _mean_over_all(x: Column) -> Column:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 def streaming_cells(events: DataFrame, age: Column, is_case: Column, time: str = "ts", period: str = "1 day", late: str = "2 days") -> DataFrame:
     """(period_start, age_idx, population, cases) of a stream of events; late ones count until the watermark passes."""
-    rows = events.select(F.col(time).alias("ts"), age.cast("int").alias("age_idx"), is_case.alias("_case")).withWatermark("ts", late)
+    rows = events.select(F.col(time).cast("timestamp").alias("ts"), age.cast("int").alias("age_idx"), is_case.alias("_case")).withWatermark("ts", late)
     out = rows.groupBy(F.window("ts", period).alias("w"), "age_idx").agg(F.count("*").alias("population"), F.count(F.when(F.col("_case"), 1)).alias("cases"))
-    return out.select(F.col("w.start").alias("period_start"), "age_idx", "population", "cases")
+    return out.select(F.col("w.start").cast("timestamp_ntz").alias("period_start"), "age_idx", "population", "cases")
 
 
 def refit_on_batch(fit: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
