@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHash, hash_words, mix64, n_shuffle, shingle_hashes, small_batches, table, work_table
+from .common import GOLDEN, WordHash, hash_words, mix64, shingle_hashes, small_batches, table, work_table
 from .components import components
 
 BANDS, ROWS = 28, 4
 COORDINATES = BANDS * ROWS
 WIDTH, SIMILARITY = 5, 80  # words a shingle; percent
 CHUNK = 512
-PAIRS_PER_BUCKET = 2048  # beyond it a bucket's last comparisons are made block by block
+PAIRS_PER_BUCKET = 512  # beyond it a bucket's last comparisons are made block by block
 BLOCK_BYTES = 512 << 10
 
 
@@ -159,43 +159,40 @@ class Verifier:
         their own, meet every block of the zone, and a task that compares two blocks returns at most one link for each
         of its nodes and components.  No comparison is left out.
         """
-        percent, spark = self.percent, zones.sparkSession
+        percent = self.percent
         zones = work_table(zones, "zones")
         sets = work_table(self.sets(zones.select("node").distinct()).dropDuplicates(["node"]), "zone_sets")
         rows = zones.join(sets, "node")
         total = rows.groupBy("zone").agg(F.ceil(F.sum(F.length("shingles")) / BLOCK_BYTES).cast("int").alias("blocks"))
-        item = F.struct("node", "comp", "shingles")
-        rows = rows.join(total, "zone").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")))
-        blocks = rows.groupBy("zone", "block").agg(F.collect_list(item).alias("all"))
-        odd = rows.where("comp != zone").groupBy("zone", "block").agg(F.collect_list(item).alias("odd")).drop("block")
-        both = odd.join(blocks, "zone").select("odd", "all").repartition(4 * n_shuffle(spark))
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found: dict[tuple[int, int], tuple[int, int]] = {}
-                for odd_, all_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    flat = [np.frombuffer(y["shingles"], dtype=np.uint64) for y in all_]
-                    size = np.array([len(y) for y in flat])
-                    start, stream = np.concatenate([[0], np.cumsum(size)[:-1]]), np.concatenate(flat)
-                    for x in odd_:
-                        s = np.frombuffer(x["shingles"], dtype=np.uint64)
-                        at = np.searchsorted(s, stream)
-                        inter = np.add.reduceat((s[np.minimum(at, len(s) - 1)] == stream).astype(np.int64), start)
-                        for i in np.flatnonzero(100 * inter >= percent * (len(s) + size - inter)):
-                            if all_[i]["comp"] != x["comp"]:
-                                found.setdefault((x["node"], all_[i]["comp"]), (x["node"], all_[i]["node"]))
-                pairs = list(found.values())
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
-
-        small_batches(spark, 4)  # rows of two blocks each
-        out = work_table(both.mapInArrow(compare, "a bigint, b bigint"), "zone_links")
-        small_batches(spark)
-        return out
-
-
-def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+        rows = rows.join(total, "zone").withColumn("block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        every = rows.select("zone", F.col("block").alias("right"), other.alias("left"), "node", "comp", "shingles")
+        odd = rows.where("comp != zone").select(F.col("zone").alias("zone_"), F.col("block").alias("left_"), other.alias("right_"), F.col("node").alias("node_"), F.col("comp").alias("comp_"), F.col("shingles").alias("set_"))
+
+        def compare(odd_: pa.Table, all_: pa.Table) -> pa.Table:
+            found: dict[tuple[int, int], tuple[int, int]] = {}
+            if odd_.num_rows and all_.num_rows:
+                flat = [np.frombuffer(y, dtype=np.uint64) for y in all_.column("shingles").to_pylist()]
+                names, comps = all_.column("node").to_pylist(), all_.column("comp").to_pylist()
+                size = np.array([len(y) for y in flat])
+                start, stream = np.concatenate([[0], np.cumsum(size)[:-1]]), np.concatenate(flat)
+                for node, comp, own in zip(*(odd_.column(c).to_pylist() for c in ("node_", "comp_", "set_"))):
+                    s = np.frombuffer(own, dtype=np.uint64)
+                    at = np.minimum(np.searchsorted(s, stream), len(s) - 1)
+                    inter = np.add.reduceat((s[at] == stream).astype(np.int64), start)
+                    for i in np.flatnonzero(100 * inter >= percent * (len(s) + size - inter)):
+                        if comps[i] != comp:
+                            found.setdefault((node, comps[i]), (node, names[i]))
+            pairs = list(found.values())
+            return pa.table([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+
+        key = ["zone", "left", "right"]
+        return work_table(odd.groupBy(*[k + "_" for k in key]).cogroup(every.groupBy(*key)).applyInArrow(compare, "a bigint, b bigint"), "zone_links")
+
+
+def _placed(members: DataFrame, comp: DataFrame) -> DataFrame:
     """(bucket, node, comp): the component that each member of a bucket belongs to so far."""
-    return members.select("bucket", "node").join(components(links), "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
+    return members.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("comp", "node").alias("comp"))
 
 
 def _pairs(x: DataFrame) -> DataFrame:
@@ -226,12 +223,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARI
     stars = members.join(centres, "bucket").select(F.col("node").alias("x"), F.explode(F.array("middle", "high")).alias("y"))
     links = verify.links(_pairs(stars))
     # large buckets that are still mixed: one more centre each, a different one in each bucket
-    placed = _placed(members, links)
+    comp = components(links)
+    placed = _placed(members, comp)
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.col("node").bitwiseXOR(F.col("bucket"))).alias("other"), F.count("*").alias("n")).where("lo != hi and n > 64")
     more = placed.join(mixed.select("bucket", "other"), "bucket").select(F.col("node").alias("x"), F.col("other").bitwiseXOR(F.col("bucket")).alias("y"))
-    links = work_table(links.unionByName(verify.links(_pairs(more))), "links")
+    comp = components(verify.links(_pairs(more)), comp)
     # what is still apart: members outside their bucket's main component against the rest of the bucket
-    placed = work_table(_placed(members, links), "placed")
+    placed = work_table(_placed(members, comp), "placed")
     count = placed.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
     main = count.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("m"), F.sum("c").alias("n")).where("m.c < n")
     main = main.select("bucket", F.col("m.comp").alias("main"), (F.col("n") * (F.col("n") - F.col("m.c"))).alias("work"))
@@ -239,10 +237,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARI
     few = apart.where(F.col("work") <= PAIRS_PER_BUCKET)
     outside = few.where("comp != main").select("bucket", F.col("node").alias("x"), F.col("comp").alias("cx"))
     fresh = _pairs(outside.join(few.select("bucket", F.col("node").alias("y"), F.col("comp").alias("cy")), "bucket").where("cx != cy").select("x", "y"))
-    links = links.unionByName(verify.links(fresh))
+    links = verify.links(fresh)
     zones = apart.where(F.col("work") > PAIRS_PER_BUCKET).select(F.col("main").alias("zone"), "node", "comp").distinct()
-    links = work_table(links.unionByName(verify.links_in_zones(zones)), "links")
-    comp = components(links)
+    comp = components(links.unionByName(verify.links_in_zones(zones)), comp)
     whole = nodes.select("node", "rep").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = whole.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_node = whole.join(least, "comp").select(F.col("node").alias("_cl_node"), "component_id")
