@@ -173,8 +173,8 @@ def mix(df: DataFrame, source: str, size: Column, row_id: Column, **options) ->
 
 def mix_documents(docs: DataFrame) -> DataFrame:
     """Documents as the mix takes them, with their own columns only; repeated passes repeat rows."""
-    taken = mix(docs.drop("pass", "mix_shard", "mix_order"), "source", n_words_of(F.col("text")), F.struct("doc_id", F.md5("text")))
-    return taken.select(*[F.col(f"`{c}`") for c in docs.columns if c in taken.columns])
+    rows = docs.select(F.struct("*").alias("_cl_row"), F.col("source").alias("_cl_source"), n_words_of(F.col("text")).alias("_cl_words"), F.xxhash64("doc_id", F.md5("text")).alias("_cl_row_id"))
+    return mix(rows, "_cl_source", F.col("_cl_words"), F.col("_cl_row_id")).select("_cl_row.*")
 
 
 def op7_hypergeometric_mix(spark, sf_dir: str) -> DataFrame:
