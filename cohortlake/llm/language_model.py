@@ -9,9 +9,10 @@ Model.  Trigram counts of all trusted documents (labelled good) are gathered by
 continuation counts; each order has its three discounts from its counts of counts; history totals and interpolation
 weights are tables as well.  All tables are sharded by n-gram.
 
-Scoring.  Texts become arrays of token ids once (2 bytes a word), in blocks of about ``BLOCK_BYTES`` of text.  A block
-asks for its distinct trigrams only; the distinct requests meet the sharded count tables order by order in hash joins,
-and each block gets its answers back and adds up its documents' log probabilities.  What is shuffled is the token ids
+Scoring.  Texts become compressed arrays of token ids once (about a byte a word), in blocks of about ``BLOCK_BYTES`` of text.  A block
+asks every shard of the n-gram space for its distinct trigrams there, packed; the distinct requests meet the sharded
+count tables order by order in hash joins, and each block gets its answers back, packed, and adds up its documents' log
+probabilities.  What is shuffled is the token ids
 once and the requests: linear in the input; rows per document and n-gram, several times the input, are never made.
 
 Verdict.  One in ``HOLD_OUT`` trusted documents is not counted but calibrates: the bound of a language is a high quantile
@@ -22,6 +23,7 @@ nats, so that a few rare words do not decide over a short text.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, table, work_table
+from .common import n_shuffle, n_words_of, small_batches, table, work_table
 
 BITS = 9
 VOCABULARY = 320
@@ -87,6 +89,24 @@ class Tokens(dict):
         return t
 
 
+def pack(grams: np.ndarray) -> bytes:
+    """Sorted codes as compressed differences."""
+    return zlib.compress(np.diff(grams, prepend=0).astype(np.int32).tobytes(), 1)
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(packed), dtype=np.int32), dtype=np.int64)
+
+
+def pack_logs(lps: np.ndarray) -> bytes:
+    """Logarithms to 1/2048 of a nat, from 0 to -32."""
+    return zlib.compress(np.rint(np.clip(-lps, 0, 31.99) * 2048).astype(np.uint16).tobytes(), 1)
+
+
+def unpack_logs(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), dtype=np.uint16) / -2048.0
+
+
 def _binary(b: pa.RecordBatch, name: str) -> list[bytes | None]:
     return b.column(b.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
@@ -150,7 +170,7 @@ class KneserNey:
 
 
 def _code(marked: DataFrame, words: list[bytes]) -> DataFrame:
-    """Documents as token ids: all columns but text, _cl_tokens (16 bits a token) and the block that their task gave them."""
+    """Documents as token ids: all columns but text, _cl_tokens (16 bits a token, compressed) and the block that their task gave them."""
     kept = [f for f in marked.schema.fields if f.name != "text"]
     names = [f.name for f in kept]
 
@@ -159,7 +179,7 @@ def _code(marked: DataFrame, words: list[bytes]) -> DataFrame:
         for b in batches:
             coded, blocks = [], []
             for t in _binary(b, "text"):
-                coded.append(tokens.of(t).astype(np.uint16).tobytes())
+                coded.append(zlib.compress(tokens.of(t).astype(np.uint16).tobytes(), 1))
                 blocks.append(part << 24 | chunk)
                 held += len(t or b"")
                 if held >= BLOCK_BYTES:
@@ -173,7 +193,7 @@ def _code(marked: DataFrame, words: list[bytes]) -> DataFrame:
 
 def trigrams(coded: bytes) -> np.ndarray:
     """Codes of 27 bits, one for each token and one for the end; none for a text without words."""
-    stored = np.frombuffer(coded, dtype=np.uint16).astype(np.int64)
+    stored = np.frombuffer(zlib.decompress(coded), dtype=np.uint16).astype(np.int64)
     if not len(stored):
         return stored
     history = np.concatenate([[START, START], stored & ((1 << BITS) - 1)])
@@ -194,39 +214,74 @@ def trigram_counts(coded: DataFrame) -> DataFrame:
     return coded.select("_cl_tokens").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def _requests(coded: DataFrame) -> DataFrame:
-    """(block, gram): the distinct trigrams of every block."""
+def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
+    return ((grams * 2_654_435_761 & 0xFFFFFFFF) >> 8) % shards
+
+
+def _requests(coded: DataFrame, shards: int) -> DataFrame:
+    """(block, shard, grams): the distinct trigrams of every block, packed by the shard of the count tables that has them."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, np.empty(0, np.int64)
+        now, held = 0, np.empty(0, np.int64)
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(held), now or 0, np.int64)), pa.array(held)], names=["block", "gram"])
+            shard = shard_of(held, shards)
+            order = np.argsort(shard, kind="stable")
+            found, cuts = np.unique(shard[order], return_index=True)
+            packed = [pack(x) for x in np.split(held[order], cuts[1:])] if len(found) else []
+            return pa.RecordBatch.from_arrays([pa.array([now] * len(found), pa.int64()), pa.array(found, pa.int32()), pa.array(packed, pa.binary())], names=["block", "shard", "grams"])
 
         for b in batches:
             by: dict[int, list[np.ndarray]] = {}
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(k, []).append(trigrams(t))
-            for k, g in by.items():  # a block's rows follow one another
+            for k, g in by.items():  # a block's rows follow one another; one that a split cuts asks twice
                 if k != now:
                     yield out()
                     now, held = k, np.empty(0, np.int64)
                 held = np.union1d(held, np.concatenate(g))
         yield out()
 
-    return coded.select("_cl_block", "_cl_tokens").mapInArrow(ask, "block bigint, gram bigint").distinct()
+    return coded.select("_cl_block", "_cl_tokens").mapInArrow(ask, "block bigint, shard int, grams binary")
+
+
+def _distinct(requests: DataFrame) -> DataFrame:
+    """(shard, gram): the distinct requests of every shard; a shard holds at most 2^27 / shards of them."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            by: dict[int, list[np.ndarray]] = {}
+            for k, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                by.setdefault(k, [held[k]] if k in held else []).append(unpack(g))
+            held.update({k: np.unique(np.concatenate(g)) for k, g in by.items()})
+        for k, g in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), pa.array(g)], names=["shard", "gram"])
+
+    return requests.select("shard", "grams").repartition("shard").mapInArrow(merge, "shard int, gram bigint")
 
 
 def perplexities(coded: DataFrame, model: KneserNey) -> DataFrame:
     """The rows of ``coded`` without tokens, with n_tokens and perplexity (null for a text without words)."""
-    requests = work_table(_requests(coded), "requests")
-    answers = work_table(model.log_probabilities(requests.select("gram").distinct()), "answers")
-    answered = requests.join(answers, "gram").select("block", "gram", "lp")
+    shards = max(32, n_shuffle(coded.sparkSession))
+    requests = work_table(_requests(coded, shards), "requests")
+    asked = work_table(_distinct(requests), "asked")
+    answers = asked.join(model.log_probabilities(asked.select("gram")), "gram").select(F.col("shard").alias("at"), "gram", "lp")
+
+    def answer(asks: pa.Table, table_: pa.Table) -> pa.Table:
+        x, y = table_.column("gram").to_numpy(), table_.column("lp").to_numpy()
+        order = np.argsort(x)
+        x, y = x[order], y[order]
+        lps = [pack_logs(y[np.searchsorted(x, unpack(g))]) for g in asks.column("grams").to_pylist()]
+        return pa.table([asks.column("block"), asks.column("grams"), pa.array(lps, pa.binary())], names=["block", "grams", "lps"])
+
+    answered = requests.groupBy("shard").cogroup(answers.groupBy("at")).applyInArrow(answer, "block bigint, grams binary, lps binary")
     kept = [f for f in coded.schema.fields if f.name not in ("_cl_tokens", "_cl_block")]
     names = [f.name for f in kept]
 
     def score(rows: pa.Table, table_: pa.Table) -> pa.Table:
-        x, y = table_.column("gram").to_numpy(), table_.column("lp").to_numpy()
+        x = np.concatenate([np.empty(0, np.int64), *map(unpack, table_.column("grams").to_pylist())])
+        y = np.concatenate([np.empty(0), *map(unpack_logs, table_.column("lps").to_pylist())])
         order = np.argsort(x)
         x, y, counts, values = x[order], y[order], [], []
         for t in rows.column("_cl_tokens").to_pylist():
@@ -254,10 +309,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
     marked = docs.join(ids, F.col("doc_id") == F.col("_cl_id"), "left").drop("_cl_id").withColumn("_cl_trusted", F.coalesce("_cl_trusted", F.lit(False)))
     words = vocabulary(marked.where("_cl_trusted"))
-    coded = work_table(_code(marked, words), "coded")
     if not words:
-        out = coded.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], (F.length("_cl_tokens") / 2).cast("long").alias("n_tokens"), *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "high")])
+        rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+        out = docs.select(*rest, n_words_of(F.col("text")).alias("n_tokens"), *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "high")])
         return out.withColumn("kept", F.col("n_tokens") > 0)
+    coded = work_table(_code(marked, words), "coded")
     held = F.col("_cl_trusted") & (F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HOLD_OUT)) == 0)
     model = KneserNey(trigram_counts(coded.where(F.col("_cl_trusted") & ~held)))
     scored = work_table(perplexities(coded, model), "scored")
