@@ -123,3 +123,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op9_template_decontamination(spark, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     return find_leaks(docs, items).drop("_cl_text")
+
+
+_IN = ", ".join(f"'{u}'" for u in UNITS)
+_CODE = f"""CASE WHEN unicode(w) BETWEEN 48 AND 57 THEN '#1' WHEN unicode(w) BETWEEN 65 AND 90 OR (unicode(w) > 127 AND lower(substr(w, 1, 1)) <> substr(w, 1, 1)) THEN '#2' WHEN w IN ({_IN}) THEN '#3' ELSE w END"""
+
+
+def _token_sql(name: str, source: str, key: str) -> str:
+    space = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""{name}_t AS (SELECT {key}, trim(regexp_replace(coalesce(text, ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\x20\\x09-\\x0D]+', '', 'g'), {space}) AS t FROM {source}),
+{name}_l AS (SELECT {key}, string_split_regex(t, '[\\x20\\x09-\\x0D]+') AS parts FROM {name}_t WHERE length(t) > 0),
+{name}_w AS (SELECT {key}, unnest(parts) AS w, generate_subscripts(parts, 1) - 1 AS i FROM {name}_l),
+{name}_c AS (SELECT {key}, i, w, {_CODE} AS c FROM {name}_w),
+{name}_x AS (SELECT {key}, i AS p, c || ' ' || lead(c, 1) OVER o || ' ' || lead(c, 2) OVER o || ' ' || lead(c, 3) OVER o || ' ' || lead(c, 4) OVER o AS win,
+  CAST(c NOT LIKE '#%' AS INTEGER) + CAST(lead(c, 1) OVER o NOT LIKE '#%' AS INTEGER) + CAST(lead(c, 2) OVER o NOT LIKE '#%' AS INTEGER) + CAST(lead(c, 3) OVER o NOT LIKE '#%' AS INTEGER) + CAST(lead(c, 4) OVER o NOT LIKE '#%' AS INTEGER) AS literals
+  FROM {name}_c WINDOW o AS (PARTITION BY {key} ORDER BY i))"""
+
+
+OP9_SQL = f"""
+WITH {_token_sql("d", "documents", "doc_id")},
+{_token_sql("b", "benchmark", "item_id")},
+bw AS (SELECT item_id, p AS q, win FROM b_x WHERE win IS NOT NULL AND literals >= {MIN_LITERALS}),
+n AS (SELECT item_id, count(*) AS n_windows FROM bw GROUP BY item_id),
+hits AS (SELECT DISTINCT d_x.doc_id, bw.item_id, bw.q, d_x.p FROM d_x JOIN bw ON d_x.win = bw.win),
+likely AS (SELECT m.doc_id, m.item_id, n.n_windows FROM (SELECT doc_id, item_id, count(DISTINCT q) AS m FROM hits GROUP BY 1, 2) m JOIN n ON m.item_id = n.item_id WHERE m.m >= {SIMILARITY} * n.n_windows),
+pairs AS (SELECT h.*, l.n_windows, h.p - h.q AS shift FROM hits h JOIN likely l ON h.doc_id = l.doc_id AND h.item_id = l.item_id),
+slot AS (SELECT DISTINCT x.doc_id, x.item_id, x.shift, b_c.i AS at_, b_c.c AS kind, b_c.w AS mine, d_c.w AS theirs
+  FROM (SELECT pairs.*, j FROM pairs CROSS JOIN range(0, {WIDTH}) t(j)) x JOIN b_c ON b_c.item_id = x.item_id AND b_c.i = x.q + x.j JOIN d_c ON d_c.doc_id = x.doc_id AND d_c.i = x.p + x.j WHERE b_c.c LIKE '#%'),
+pick AS (SELECT doc_id, item_id, shift, kind, mine, sum(k) AS k, max(k) AS top FROM (SELECT doc_id, item_id, shift, kind, mine, theirs, count(*) AS k FROM slot GROUP BY 1, 2, 3, 4, 5, 6) GROUP BY 1, 2, 3, 4, 5),
+same AS (SELECT doc_id, item_id, shift, sum(k) AS n_slots, sum(top) AS n_same FROM pick GROUP BY 1, 2, 3),
+good AS (SELECT p.doc_id, p.item_id, p.n_windows, p.q, coalesce(s.n_slots, 0) AS n_slots, coalesce(s.n_same, 0) AS n_same FROM pairs p LEFT JOIN same s ON p.doc_id = s.doc_id AND p.item_id = s.item_id AND p.shift = s.shift),
+per AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id, q ORDER BY n_slots DESC, n_same DESC) AS k FROM good WHERE n_same >= {CONSISTENCY} * n_slots)
+SELECT doc_id, item_id, CAST(n_windows AS BIGINT) AS n_windows, CAST(count(*) AS BIGINT) AS n_matched, CAST(max(n_slots) AS BIGINT) AS n_slots, CAST(max(n_same) AS BIGINT) AS n_same
+FROM per WHERE k = 1 GROUP BY doc_id, item_id, n_windows HAVING count(*) >= {SIMILARITY} * n_windows
+"""

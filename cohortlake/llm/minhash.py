@@ -252,3 +252,19 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = SIMILARI
 def op6_circulant_minhash(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs, width=2)
+
+
+OP6_SQL = r"""
+WITH RECURSIVE t AS (SELECT doc_id, trim(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents),
+l AS (SELECT doc_id, string_split_regex(t, '[\x20\x09-\x0D]+') AS parts FROM t WHERE length(t) > 0),
+w AS (SELECT doc_id, unnest(parts) AS w, generate_subscripts(parts, 1) AS i FROM l),
+s AS (SELECT DISTINCT doc_id, g FROM (SELECT doc_id, w || ' ' || lead(w) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM w) WHERE g IS NOT NULL
+  UNION ALL SELECT doc_id, parts[1] FROM l WHERE len(parts) = 1),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+k AS (SELECT s.doc_id, s.g, n.n FROM s JOIN n ON s.doc_id = n.doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, a.n + b.n AS total, count(*) AS c FROM k a JOIN k b ON a.g = b.g AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY 1, 2, 3),
+e AS (SELECT x, y FROM p WHERE 100 * c >= 80 * (total - c)),
+both_ AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach AS (SELECT doc_id, doc_id AS r FROM documents UNION SELECT reach.doc_id, both_.y FROM reach JOIN both_ ON reach.r = both_.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, d.c AS component_id, d.doc_id = d.c AS kept FROM (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id) d LEFT JOIN n ON n.doc_id = d.doc_id
+"""

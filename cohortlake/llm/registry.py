@@ -15,4 +15,10 @@ QUERIES = {
     "op10_snapshot_collapse": chat.op10_snapshot_collapse,
 }
 
-SQL = {"op4_bloom_line_dedup": line_dedup.OP4_SQL, "op8_index_first_warc": warc.OP8_SQL, "op10_snapshot_collapse": chat.OP10_SQL}
+SQL = {
+    "op4_bloom_line_dedup": line_dedup.OP4_SQL,
+    "op6_circulant_minhash": minhash.OP6_SQL,
+    "op8_index_first_warc": warc.OP8_SQL,
+    "op9_template_decontamination": decontaminate.OP9_SQL,
+    "op10_snapshot_collapse": chat.OP10_SQL,
+}
