@@ -202,6 +202,15 @@ def test_passages(docs, empty):
     assert not set(got) & {90, 91, 92, 93, 94, 95, 96, 97} and substring_dedup.repeated_passages(empty).count() == 0
 
 
+def test_passages_of_repeated_ids(spark):
+    """Texts that share a doc_id are each found, whatever body is fetched first."""
+    word = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    rows = [(None if i % 2 else 7, f"{word(f'own{i}x', 20)} {word(f'shared{i}x', 60)}") for i in range(12)]
+    rows += [(100 + i, f"{word(f'shared{i}x', 60)} {word(f'rest{i}x', 20)}") for i in range(12)]
+    out = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
+
+
 def test_leaks(spark, docs):
     q = "In May Tom Miller had 31 red apples in 4 large boxes and sold 12 of them to Ann for 25 dollars before Tom Miller went home with 7 euros"
     other = q.replace("Tom Miller", "Eva Stone").replace("31", "48").replace("Ann", "Kim").replace("dollars", "cents")
