@@ -211,6 +211,23 @@ def test_passages_of_repeated_ids(spark):
     assert Counter(r.doc_id for r in out) == Counter(r[0] for r in rows)
 
 
+@pytest.mark.parametrize("per_group", [512, 0])
+def test_passages_of_many_variants(spark, monkeypatch, per_group):
+    """A passage and its variants, each with another word changed: all similar to the passage, few to one another."""
+    monkeypatch.setattr(substring_dedup, "PAIRS_PER_GROUP", per_group)
+    rows = []
+    for p in range(12):
+        base = [f"p{p}w{i}" for i in range(60)]
+        rows.append((1000 * p, " ".join(base + [f"p{p}tail{i}" for i in range(200)])))
+        for k in range(40):
+            w = list(base)
+            w[10 + k] = f"p{p}edit{k}"
+            rows.append((1000 * p + 1 + k, " ".join(w + [f"p{p}k{k}end"])))
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    print("missing", len(rows) - len(got), "of", len(rows))
+    assert len(got) >= 0.99 * len(rows) and all(r.class_id == i // 1000 * 1000 for i, r in got.items())
+
+
 def test_leaks(spark, docs):
     q = "In May Tom Miller had 31 red apples in 4 large boxes and sold 12 of them to Ann for 25 dollars before Tom Miller went home with 7 euros"
     other = q.replace("Tom Miller", "Eva Stone").replace("31", "48").replace("Ann", "Kim").replace("dollars", "cents")
