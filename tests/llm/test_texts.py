@@ -228,6 +228,21 @@ def test_passages_of_many_variants(spark, monkeypatch, per_group):
     assert len(got) >= 0.99 * len(rows) and all(r.class_id == i // 1000 * 1000 for i, r in got.items())
 
 
+def test_edited_passages_meet(spark):
+    """Lone pairs of a 50-word passage with one changed word fall into a group."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for p in range(1500):
+        w = [f"p{p}w{i}" for i in range(50)]
+        v = list(w)
+        v[int(rng.integers(5, 45))] = f"p{p}edit"
+        for k, x in enumerate((w, v)):
+            rows.append((2 * p + k, " ".join([f"p{p}a{k}b{i}" for i in range(80)] + x + [f"p{p}c{k}d{i}" for i in range(80)])))
+    windows = substring_dedup._emit_windows(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 50)
+    joined = substring_dedup._join_windows(windows).where("text != to")
+    assert substring_dedup.HASHES >= 6 and joined.select("text").distinct().count() == 1500
+
+
 def test_leaks(spark, docs):
     q = "In May Tom Miller had 31 red apples in 4 large boxes and sold 12 of them to Ann for 25 dollars before Tom Miller went home with 7 euros"
     other = q.replace("Tom Miller", "Eva Stone").replace("31", "48").replace("Ann", "Kim").replace("dollars", "cents")
