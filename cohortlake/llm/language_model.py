@@ -1,19 +1,18 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney n-gram model.
 
-Tokens.  The ``VOCABULARY`` most frequent words of the trusted text are tokens of their own; other words become classes
-by shape (script, case, digits, symbols, length); a word that repeats the one before it is the token REPEAT, and RUN if
-that one did so too, where it is predicted, and stays itself in the history: a run is then as surprising at its tenth
-word as at its third, even if the trusted text has a few.  A trigram fits 27 bits and a block of documents has few distinct ones, whatever the language.
+Tokens.  Words, by a hash of 64 bits; n-grams by one of 48.  A word that repeats the one before it is the token REPEAT,
+and RUN if that one did so too, where it is predicted, on top of its own probability, and stays itself in the history: a
+run is then as surprising at its tenth word as at its third, even if the trusted text has a few.  Words that the trusted text does not have share
+what its own distribution leaves by their shape (script, case, digits, symbols, length).
 
-Model.  Trigram counts of all trusted documents (labelled good) are gathered by a shuffle; lower orders use
-continuation counts; each order has its three discounts from its counts of counts; history totals and interpolation
-weights are tables as well.  All tables are sharded by n-gram.
+Model.  Trigram counts of all trusted documents (labelled good) are gathered by a shuffle and grow with them; lower orders use
+continuation counts; each order has its three discounts from its counts of counts.  The probability of every counted
+n-gram and the interpolation weight of every history are one table, sharded by n-gram.
 
-Scoring.  Texts become compressed arrays of token ids once (about a byte a word), in blocks of about ``BLOCK_BYTES`` of text.  A block
-asks every shard of the n-gram space for its distinct trigrams there, packed; the distinct requests meet the sharded
-count tables order by order in hash joins, and each block gets its answers back, packed, and adds up its documents' log
-probabilities.  What is shuffled is the token ids
-once and the requests: linear in the input; rows per document and n-gram, several times the input, are never made.
+Scoring.  Texts are kept in blocks of about ``BLOCK_BYTES``.  A block asks every shard of the n-gram space for its
+distinct n-grams and histories there, packed; what the tables have of them comes back, packed, and each block adds up
+its documents' log probabilities.  What is shuffled is the text once and the requests: linear in the input; rows per
+document and n-gram are never made.
 
 Verdict.  One in ``HOLD_OUT`` trusted documents is not counted but calibrates: the bound of a language is a high quantile
 of the perplexities of these, which the model has not seen, times a margin.  A
@@ -33,13 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import n_shuffle, n_words_of, small_batches, table, work_table
+from .common import GOLDEN, mix64, n_shuffle, n_words_of, small_batches, table, work_table
 
-BITS = 9
-VOCABULARY = 320
+BITS = 9  # of a token in packed n-grams
+ID_BITS = 48  # of an n-gram's hash
 RUN, REPEAT, START, END = 0, 1, 2, 3
-REPEATS, RUNS = 1 << BITS, 2 << BITS  # marks of stored tokens: repeats the word before; that one did so too
-FIRST_CLASS, FIRST_WORD = 4, 512 - VOCABULARY  # shapes between them
+MARKS = np.arange(1, 5, dtype=np.uint64)  # stand for hashes of these four
+SEEDS = np.arange(4, dtype=np.uint64) * GOLDEN
+FIRST_CLASS = 4
 BLOCK_BYTES = 8 << 20
 HIGH, MARGIN, SLACK = 0.995, 1.25, 12.0
 BROADCAST_IDS = 4_000_000  # 32 MB of ids; more are joined by a shuffle
@@ -48,7 +48,7 @@ MIN_TRUSTED = 30  # a language with fewer held-out documents is judged by the qu
 
 
 def shape_class(word: bytes) -> int:
-    """A number from FIRST_CLASS on for a word outside the vocabulary."""
+    """A number from FIRST_CLASS on for a word that has not been seen."""
     w = word.decode("utf-8", "replace")
     letters = sum(c.isalpha() for c in w)
     tail = w[-1:]
@@ -65,28 +65,60 @@ def shape_class(word: bytes) -> int:
     return FIRST_CLASS + 12 + foreign + (case * 5 + end) * 6 + length
 
 
-class Tokens(dict):
-    """word -> hash of 48 bits and token of 16, memoised."""
+class Words(dict):
+    """word -> hash of 64 bits, memoised with its shape class."""
 
-    def __init__(self, vocabulary: list[bytes], limit: int = 400_000) -> None:
+    def __init__(self, limit: int = 400_000) -> None:
         super().__init__()
-        self.ids, self.limit = {w: FIRST_WORD + i for i, w in enumerate(vocabulary)}, limit
+        self.limit = limit
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> tuple[int, int]:
         if len(self) >= self.limit:
             self.clear()
-        token = self.ids.get(word) or shape_class(word)
-        value = self[word] = (xxhash.xxh3_64_intdigest(word) & 0x7FFFFFFFFFFF0000) | token
+        value = self[word] = (xxhash.xxh3_64_intdigest(word), shape_class(word))
         return value
 
-    def of(self, text: bytes | None) -> np.ndarray:
-        words = text.split() if text else []
-        v = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        t = v & 0xFFFF
-        same = v[1:] == v[:-1]
-        t[1:][same] |= REPEATS
-        t[2:][same[1:] & same[:-1]] |= RUNS
-        return t
+
+def ids(kind: int, *words: np.ndarray) -> np.ndarray:
+    """Hashes of ID_BITS bits of n-grams of ``kind`` words."""
+    h = mix64(words[0] + SEEDS[kind])
+    for w in words[1:]:
+        h = mix64(h * np.uint64(3) + w)
+    return (h >> np.uint64(64 - ID_BITS)).astype(np.int64)
+
+
+def orders(text: bytes | None, memo: Words) -> tuple[np.ndarray, ...]:
+    """g1, g2, g3, h2, h3, shape and the word's own shape, one for each word and one for the end; none for a text without words."""
+    words = text.split() if text else []
+    if not words:
+        return (np.empty(0, np.int64),) * 7
+    w, shape = (np.array(x) for x in zip(*map(memo.__getitem__, words)))
+    w = w.astype(np.uint64)
+    history = np.concatenate([MARKS[[START, START]], w])
+    word = np.concatenate([w, MARKS[[END]]])
+    same = np.concatenate([[False], w[1:] == w[:-1], [False]])
+    run = same & np.concatenate([[False], same[:-1]])
+    word[same] = MARKS[REPEAT]
+    word[run] = MARKS[RUN]
+    own = np.concatenate([shape, [END]]).astype(np.int64)
+    shape = own.copy()
+    shape[same] = REPEAT
+    shape[run] = RUN
+    x, y = history[:-1], history[1:]
+    return ids(1, word), ids(2, y, word), ids(3, x, y, word), ids(1, y), ids(2, x, y), shape, own
+
+
+def pack_ids(found: np.ndarray) -> bytes:
+    """Sorted ids as compressed differences, byte by byte."""
+    d = np.diff(found, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8)[:, : ID_BITS // 8]
+    return zlib.compress(np.ascontiguousarray(d.T).tobytes(), 1)
+
+
+def unpack_ids(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(ID_BITS // 8, -1)
+    d = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    d[:, : ID_BITS // 8] = planes.T
+    return np.cumsum(d.reshape(-1).view("<i8").astype(np.int64))
 
 
 def pack(grams: np.ndarray) -> bytes:
@@ -111,39 +143,17 @@ def _binary(b: pa.RecordBatch, name: str) -> list[bytes | None]:
     return b.column(b.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
 
 
-def vocabulary(trusted: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The most frequent words of the trusted text, ties by word; a fixed number of them."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}
-
-        def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-            seen.clear()
-            return out
-
-        for b in batches:
-            for text in _binary(b, "text"):
-                for w in text.split() if text else ():
-                    seen[w] = seen.get(w, 0) + 1
-            if len(seen) > 500_000:
-                yield flush()
-        if seen:
-            yield flush()
-
-    words = trusted.select("text").mapInArrow(count, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [bytes(r[0]) for r in words.orderBy(F.desc("n"), "word").limit(size).collect()]
-
-
 class KneserNey:
-    """Count tables of an interpolated modified Kneser-Ney trigram model and the join that scores n-grams."""
+    """Count tables of an interpolated modified Kneser-Ney trigram model and the join that scores n-grams.
+
+    ``counts`` has n and the orders g1, g2, g3 (an n-gram and its suffixes), h2, h3 (their histories) and base (the
+    probability before any count), or codes of BITS a token as gram; then base is uniform.
+    """
 
     def __init__(self, counts: DataFrame) -> None:
-        low = (1 << 2 * BITS) - 1
-        self.grams = {3: work_table(counts, "c3")}
-        self.grams[2] = work_table(self.grams[3].groupBy(F.col("gram").bitwiseAND(low).alias("gram")).agg(F.count("*").alias("n")), "c2")
-        self.grams[1] = work_table(self.grams[2].groupBy(F.col("gram").bitwiseAND((1 << BITS) - 1).alias("gram")).agg(F.count("*").alias("n")), "c1")
-        self.types = (1 << BITS) - 1  # tokens that can be predicted, seen or not
+        self.grams = {3: work_table(self._orders(counts).select(*self._names(3), "n"), "c3")}
+        for k in (2, 1):
+            self.grams[k] = work_table(self.grams[k + 1].groupBy(*self._names(k)).agg(F.count("*").alias("n")), f"c{k}")
         self.discount, self.histories = {}, {}
         for k, t in self.grams.items():
             c = t.agg(*[F.count(F.when(F.col("n") == i, 1)) for i in (1, 2, 3, 4)]).first()
@@ -152,89 +162,116 @@ class KneserNey:
             self.discount[k] = [min(max(x, 0.05), i - 0.05) for i, x in zip((1, 2, 3), d)]
             d1, d2, d3 = self.discount[k]
             cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-            h = t.groupBy(F.shiftright("gram", BITS).alias("h")).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
+            h = t.groupBy(F.col(f"h{k}").alias("h")).agg(F.sum("n").alias("total"), F.sum(cut).alias("cut"))
             self.histories[k] = work_table(h.select("h", "total", (F.col("cut") / F.col("total")).alias("gamma")), f"h{k}")
 
-    def log_probabilities(self, grams: DataFrame) -> DataFrame:
-        """(gram, lp): natural logarithms for distinct trigrams, by joins with the sharded tables of every order."""
-        out = grams.select("gram").withColumn("p", F.lit(1.0 / self.types))
+    @staticmethod
+    def _names(k: int) -> list[str]:
+        return ["base", *(f"{x}{i}" for i in range(1, k + 1) for x in "gh")]
+
+    @staticmethod
+    def _orders(grams: DataFrame) -> DataFrame:
+        if "gram" not in grams.columns:
+            return grams.withColumn("h1", F.lit(0).cast("long"))
         for k in (1, 2, 3):
+            g = F.col("gram").bitwiseAND((1 << k * BITS) - 1)
+            grams = grams.withColumn(f"g{k}", g).withColumn(f"h{k}", F.shiftright(g, BITS))
+        return grams.withColumn("base", F.lit(1.0 / ((1 << BITS) - 1)))  # all tokens that can be predicted, seen or not
+
+    def probabilities(self, grams: DataFrame, order: int) -> DataFrame:
+        """``grams`` with p, by joins with the sharded tables of every order."""
+        kept = [F.col(c) for c in grams.columns]
+        out = grams.withColumn("p", F.col("base"))
+        for k in range(1, order + 1):
             d1, d2, d3 = self.discount[k]
-            out = out.withColumn("_g", F.col("gram").bitwiseAND((1 << k * BITS) - 1)).withColumn("_h", F.shiftright("_g", BITS))
-            out = out.join(self.grams[k].select(F.col("gram").alias("_g"), "n"), "_g", "left").join(self.histories[k].select(F.col("h").alias("_h"), "total", "gamma"), "_h", "left")
-            n = F.coalesce("n", F.lit(0))
-            kept = F.greatest(n - F.when(n == 1, d1).when(n == 2, d2).when(n > 2, d3).otherwise(0.0), F.lit(0.0))
-            p = F.when(F.col("total").isNull(), F.col("p")).otherwise(kept / F.col("total") + F.col("gamma") * F.col("p"))
-            out = out.select("gram", p.alias("p"))
-        return out.select("gram", F.ln("p").alias("lp"))
+            out = out.join(self.grams[k].select(F.col(f"g{k}").alias("_g"), F.col("n").alias("_n")), F.col(f"g{k}") == F.col("_g"), "left")
+            out = out.join(self.histories[k].select(F.col("h").alias("_h"), "total", "gamma"), F.col(f"h{k}") == F.col("_h"), "left")
+            n = F.coalesce("_n", F.lit(0))
+            left = F.greatest(n - F.when(n == 1, d1).when(n == 2, d2).when(n > 2, d3).otherwise(0.0), F.lit(0.0))
+            p = F.when(F.col("total").isNull(), F.col("p")).otherwise(left / F.col("total") + F.col("gamma") * F.col("p"))
+            out = out.select(*kept, p.alias("p"))
+        return out
+
+    def log_probabilities(self, grams: DataFrame) -> DataFrame:
+        """(gram, lp): natural logarithms for distinct trigrams."""
+        return self.probabilities(self._orders(grams.select("gram")), 3).select("gram", F.ln("p").alias("lp"))
 
+    def entries(self) -> DataFrame:
+        """(id, a, b): logarithms of the probability of a counted n-gram and of the weight of what is below it as a history."""
+        none, parts = F.lit(None).cast("double"), []
+        for k in (1, 2, 3):
+            parts.append(self.probabilities(self.grams[k].drop("n"), k).select(F.col(f"g{k}").alias("id"), F.ln("p").alias("a"), none.alias("b")))
+        for k in (2, 3):
+            parts.append(self.histories[k].select(F.col("h").alias("id"), none.alias("a"), F.ln("gamma").alias("b")))
+        every = parts[0]
+        for x in parts[1:]:
+            every = every.unionAll(x)
+        return every.groupBy("id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
 
-def _code(marked: DataFrame, words: list[bytes]) -> DataFrame:
-    """Documents as token ids: all columns but text, _cl_tokens (16 bits a token, compressed) and the block that their task gave them."""
+
+def _code(marked: DataFrame) -> DataFrame:
+    """Documents with _cl_text, their compressed text, in its place and the block that their task gave them."""
     kept = [f for f in marked.schema.fields if f.name != "text"]
     names = [f.name for f in kept]
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, part, chunk, held = Tokens(words), TaskContext.get().partitionId(), 0, 0
+        part, chunk, held = TaskContext.get().partitionId(), 0, 0
         for b in batches:
             coded, blocks = [], []
             for t in _binary(b, "text"):
-                coded.append(zlib.compress(tokens.of(t).astype(np.uint16).tobytes(), 1))
+                coded.append(zlib.compress(t or b"", 1))
                 blocks.append(part << 24 | chunk)
                 held += len(t or b"")
                 if held >= BLOCK_BYTES:
                     chunk, held = chunk + 1, 0
             out = [b.column(b.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays([*out, pa.array(coded, pa.binary()), pa.array(blocks, pa.int64())], names=[*names, "_cl_tokens", "_cl_block"])
+            yield pa.RecordBatch.from_arrays([*out, pa.array(coded, pa.binary()), pa.array(blocks, pa.int64())], names=[*names, "_cl_text", "_cl_block"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return marked.mapInArrow(code, f"{schema}, _cl_tokens binary, _cl_block bigint")
-
-
-def trigrams(coded: bytes) -> np.ndarray:
-    """Codes of 27 bits, one for each token and one for the end; none for a text without words."""
-    stored = np.frombuffer(zlib.decompress(coded), dtype=np.uint16).astype(np.int64)
-    if not len(stored):
-        return stored
-    history = np.concatenate([[START, START], stored & ((1 << BITS) - 1)])
-    word = history[2:].copy()
-    word[(stored & REPEATS) > 0] = REPEAT
-    word[(stored & RUNS) > 0] = RUN
-    return (history[:-1] << 2 * BITS)[: len(word) + 1] | (history[1:] << BITS) | np.concatenate([word, [END]])
+    return marked.mapInArrow(code, f"{schema}, _cl_text binary, _cl_block bigint")
 
 
 def trigram_counts(coded: DataFrame) -> DataFrame:
-    """(gram bigint, n bigint) over all rows."""
+    """(g1, g2, g3, h2, h3, shape, n) over all rows."""
+    names = ["g1", "g2", "g3", "h2", "h3", "shape"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Words()
         for b in batches:
-            g, n = np.unique(np.concatenate([np.empty(0, np.int64), *map(trigrams, b.column(0).to_pylist())]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(n, pa.int64())], names=["gram", "n"])
+            cols = [np.concatenate(x) for x in zip(*(orders(zlib.decompress(t), memo)[:6] for t in b.column(0).to_pylist()))] or [np.empty(0, np.int64)] * 6
+            _, at, n = np.unique(cols[2], return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[at], pa.int64()) for c in cols), pa.array(n, pa.int64())], names=[*names, "n"])
 
-    return coded.select("_cl_tokens").mapInArrow(count, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = coded.select("_cl_text").mapInArrow(count, ", ".join(f"{c} bigint" for c in [*names, "n"]))
+    return rows.groupBy("g3").agg(*(F.first(c).alias(c) for c in names if c != "g3"), F.sum("n").alias("n"))
 
 
-def shard_of(grams: np.ndarray, shards: int) -> np.ndarray:
-    return ((grams * 2_654_435_761 & 0xFFFFFFFF) >> 8) % shards
+def shape_shares(counts: DataFrame) -> list[float]:
+    """The probability of a word before any count, by shape: the words seen once tell how often each shape is new."""
+    once = counts.groupBy("g1", "shape").agg(F.sum("n").alias("n"))
+    rows = once.groupBy("shape").agg(F.count(F.when(F.col("n") == 1, 1)).alias("new"), F.count("*").alias("all")).collect()
+    new, every = np.full(512, 0.5), 1 + sum(r["all"] for r in rows)
+    for r in rows:
+        new[r["shape"]] += r["new"]
+    return (new / new.sum() / every).tolist()
 
 
 def _requests(coded: DataFrame, shards: int) -> DataFrame:
-    """(block, shard, grams): the distinct trigrams of every block, packed by the shard of the count tables that has them."""
+    """(block, shard, grams): the distinct n-grams and histories of every block, packed by the shard of the tables that has them."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = 0, np.empty(0, np.int64)
+        memo, now, held = Words(), 0, np.empty(0, np.int64)
 
         def out() -> pa.RecordBatch:
-            shard = shard_of(held, shards)
-            order = np.argsort(shard, kind="stable")
-            found, cuts = np.unique(shard[order], return_index=True)
-            packed = [pack(x) for x in np.split(held[order], cuts[1:])] if len(found) else []
+            shard = held * shards >> ID_BITS
+            found, cuts = np.unique(shard, return_index=True)
+            packed = [pack_ids(x) for x in np.split(held, cuts[1:])] if len(found) else []
             return pa.RecordBatch.from_arrays([pa.array([now] * len(found), pa.int64()), pa.array(found, pa.int32()), pa.array(packed, pa.binary())], names=["block", "shard", "grams"])
 
         for b in batches:
             by: dict[int, list[np.ndarray]] = {}
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by.setdefault(k, []).append(trigrams(t))
+                by.setdefault(k, []).extend(orders(zlib.decompress(t), memo)[:5])
             for k, g in by.items():  # a block's rows follow one another; one that a split cuts asks twice
                 if k != now:
                     yield out()
@@ -242,52 +279,64 @@ def _requests(coded: DataFrame, shards: int) -> DataFrame:
                 held = np.union1d(held, np.concatenate(g))
         yield out()
 
-    return coded.select("_cl_block", "_cl_tokens").mapInArrow(ask, "block bigint, shard int, grams binary")
+    return coded.select("_cl_block", "_cl_text").mapInArrow(ask, "block bigint, shard int, grams binary")
 
 
-def _distinct(requests: DataFrame) -> DataFrame:
-    """(shard, gram): the distinct requests of every shard; a shard holds at most 2^27 / shards of them."""
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for b in batches:
-            by: dict[int, list[np.ndarray]] = {}
-            for k, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by.setdefault(k, [held[k]] if k in held else []).append(unpack(g))
-            held.update({k: np.unique(np.concatenate(g)) for k, g in by.items()})
-        for k, g in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), k, np.int32)), pa.array(g)], names=["shard", "gram"])
-
-    return requests.select("shard", "grams").repartition("shard").mapInArrow(merge, "shard int, gram bigint")
+def _floats(x: np.ndarray) -> bytes:
+    return zlib.compress(x.astype(np.float16).tobytes(), 1)
 
 
-def perplexities(coded: DataFrame, model: KneserNey) -> DataFrame:
-    """The rows of ``coded`` without tokens, with n_tokens and perplexity (null for a text without words)."""
-    shards = max(32, n_shuffle(coded.sparkSession))
-    requests = work_table(_requests(coded, shards), "requests")
-    asked = work_table(_distinct(requests), "asked")
-    answers = asked.join(model.log_probabilities(asked.select("gram")), "gram").select(F.col("shard").alias("at"), "gram", "lp")
+def perplexities(coded: DataFrame, model: KneserNey, base: list[float]) -> DataFrame:
+    """The rows of ``coded`` without text, with n_tokens and perplexity (null for a text without words)."""
+    entries = work_table(model.entries(), "entries")
+    blocks = coded.select("_cl_block").distinct().count()
+    shards = max(32, n_shuffle(coded.sparkSession), entries.count() // 1_000_000, blocks // 8)  # a shard fits in a task
+    first = model.histories[1].select("gamma").first()
+    unseen = np.log(base) + (np.log(first[0]) if first else 0.0)
+    of = F.shiftright(F.col("id") * F.lit(shards), ID_BITS).cast("int").alias("at")
 
     def answer(asks: pa.Table, table_: pa.Table) -> pa.Table:
-        x, y = table_.column("gram").to_numpy(), table_.column("lp").to_numpy()
+        x, a, b = (table_.column(c).to_numpy() for c in ("id", "a", "b"))
         order = np.argsort(x)
-        x, y = x[order], y[order]
-        lps = [pack_logs(y[np.searchsorted(x, unpack(g))]) for g in asks.column("grams").to_pylist()]
-        return pa.table([asks.column("block"), asks.column("grams"), pa.array(lps, pa.binary())], names=["block", "grams", "lps"])
-
-    answered = requests.groupBy("shard").cogroup(answers.groupBy("at")).applyInArrow(answer, "block bigint, grams binary, lps binary")
-    kept = [f for f in coded.schema.fields if f.name not in ("_cl_tokens", "_cl_block")]
+        x, a, b = x[order], a[order], b[order]
+        out: list[tuple[int, bytes, bytes, bytes]] = []
+        for block, g in zip(asks.column("block").to_pylist(), asks.column("grams").to_pylist()):
+            g = unpack_ids(g)
+            at = np.minimum(np.searchsorted(x, g), len(x) - 1) if len(x) else np.empty(0, np.int64)
+            if len(x):
+                at = at[x[at] == g]
+            if len(at):
+                out.append((block, pack_ids(x[at]), _floats(a[at]), _floats(b[at])))
+        return pa.table([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 4, (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], names=["block", "grams", "a", "b"])
+
+    requests = _requests(coded, shards)
+    answered = requests.groupBy("shard").cogroup(entries.select(of, "id", "a", "b").groupBy("at")).applyInArrow(answer, "block bigint, grams binary, a binary, b binary")
+    kept = [f for f in coded.schema.fields if f.name not in ("_cl_text", "_cl_block")]
     names = [f.name for f in kept]
 
     def score(rows: pa.Table, table_: pa.Table) -> pa.Table:
-        x = np.concatenate([np.empty(0, np.int64), *map(unpack, table_.column("grams").to_pylist())])
-        y = np.concatenate([np.empty(0), *map(unpack_logs, table_.column("lps").to_pylist())])
-        order = np.argsort(x)
-        x, y, counts, values = x[order], y[order], [], []
-        for t in rows.column("_cl_tokens").to_pylist():
-            g = trigrams(t)
-            counts.append(max(0, len(g) - 1))
-            values.append(float(np.exp(-y[np.searchsorted(x, g)].mean())) if len(g) else None)
+        memo, counts, values = Words(), [], []
+        x = np.concatenate([np.empty(0, np.int64), *map(unpack_ids, table_.column("grams").to_pylist())])
+        a, b = (np.concatenate([np.empty(0, np.float32), *(np.frombuffer(zlib.decompress(v), np.float16).astype(np.float32) for v in table_.column(c).to_pylist())]) for c in "ab")
+        x, order = np.unique(x, return_index=True)
+        a, b = a[order], b[order]
+
+        def find(g: np.ndarray, values_: np.ndarray, otherwise: np.ndarray | float) -> np.ndarray:
+            if not len(x):
+                return np.broadcast_to(otherwise, g.shape)
+            at = np.minimum(np.searchsorted(x, g), len(x) - 1)
+            v = np.where(x[at] == g, values_[at], np.nan)
+            return np.where(np.isnan(v), otherwise, v)
+
+        for t in rows.column("_cl_text").to_pylist():
+            g1, g2, g3, h2, h3, shape, own = orders(zlib.decompress(t), memo)
+            p = find(g1, a, unseen[shape])
+            p = find(g2, a, find(h2, b, 0.0) + p)
+            p = find(g3, a, find(h3, b, 0.0) + p)
+            again = np.flatnonzero(shape <= REPEAT)  # the word itself, the history of what comes next, comes on top
+            p[again] += find(h2[again + 1], a, unseen[own[again]])
+            counts.append(max(0, len(p) - 1))
+            values.append(float(np.exp(-p.mean())) if len(p) else None)
         return pa.table([*(rows.column(c) for c in names), pa.array(counts, pa.int64()), pa.array(values, pa.float64())], names=[*names, "n_tokens", "perplexity"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
@@ -308,15 +357,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     n = ids.count()
     ids = F.broadcast(ids) if n <= BROADCAST_IDS else ids
     marked = docs.join(ids, F.col("doc_id") == F.col("_cl_id"), "left").drop("_cl_id").withColumn("_cl_trusted", F.coalesce("_cl_trusted", F.lit(False)))
-    words = vocabulary(marked.where("_cl_trusted"))
-    if not words:
+    if not marked.where(F.col("_cl_trusted") & (n_words_of(F.col("text")) > 0)).limit(1).count():
         rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
         out = docs.select(*rest, n_words_of(F.col("text")).alias("n_tokens"), *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "high")])
         return out.withColumn("kept", F.col("n_tokens") > 0)
-    coded = work_table(_code(marked, words), "coded")
+    coded = work_table(_code(marked), "coded")
     held = F.col("_cl_trusted") & (F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HOLD_OUT)) == 0)
-    model = KneserNey(trigram_counts(coded.where(F.col("_cl_trusted") & ~held)))
-    scored = work_table(perplexities(coded, model), "scored")
+    counts = work_table(trigram_counts(coded.where(F.col("_cl_trusted") & ~held)), "counts")
+    base = shape_shares(counts)
+    shares = F.broadcast(spark.createDataFrame(list(enumerate(base)), "shape bigint, base double"))
+    model = KneserNey(counts.join(shares, "shape"))
+    scored = work_table(perplexities(coded, model, base), "scored")
     good = scored.where(held & F.col("perplexity").isNotNull())
     per = good.groupBy("lang").agg(F.percentile_approx("perplexity", HIGH, 10_000).alias("q"), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED)
     every = good.agg(F.percentile_approx("perplexity", HIGH, 10_000)).first()[0] or float("inf")
