@@ -15,13 +15,15 @@ its documents' log probabilities.  What is shuffled is the text once and the req
 document and n-gram are never made.
 
 Verdict.  One in ``HOLD_OUT`` trusted documents is not counted but calibrates: the bound of a language is a high quantile
-of the perplexities of these, which the model has not seen, times a margin.  A
+of the perplexities of these, which the model has not seen, drawn towards the one of all languages the less the more
+of them there are, times a margin.  A
 document is kept if its perplexity is within the bound, or if all its tokens together exceed it by at most ``SLACK``
 nats, so that a few rare words do not decide over a short text.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -44,7 +46,7 @@ BLOCK_BYTES = 8 << 20
 HIGH, MARGIN, SLACK = 0.995, 1.25, 12.0
 BROADCAST_IDS = 4_000_000  # 32 MB of ids; more are joined by a shuffle
 HOLD_OUT = 5
-MIN_TRUSTED = 30  # a language with fewer held-out documents is judged by the quantile of all
+POOLED = 30  # held-out documents that the quantile of all languages counts as beside a language's own
 
 
 def shape_class(word: bytes) -> int:
@@ -369,9 +371,9 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = KneserNey(counts.join(shares, "shape"))
     scored = work_table(perplexities(coded, model, base), "scored")
     good = scored.where(held & F.col("perplexity").isNotNull())
-    per = good.groupBy("lang").agg(F.percentile_approx("perplexity", HIGH, 10_000).alias("q"), F.count("*").alias("n")).where(F.col("n") >= MIN_TRUSTED)
+    per = good.groupBy("lang").agg(F.percentile_approx("perplexity", HIGH, 10_000).alias("q"), F.count("*").alias("n"))
     every = good.agg(F.percentile_approx("perplexity", HIGH, 10_000)).first()[0] or float("inf")
-    bounds = work_table(per.select(F.col("lang").alias("_cl_lang"), (F.col("q") * MARGIN).alias("high")), "bounds")
+    bounds = work_table(per.select(F.col("lang").alias("_cl_lang"), (F.exp((F.col("n") * F.ln("q") + POOLED * math.log(every)) / (F.col("n") + POOLED)) * MARGIN).alias("high")), "bounds")
     bounds = F.broadcast(bounds) if bounds.count() <= 10_000 else bounds
     out = scored.join(bounds, F.col("lang").eqNullSafe(F.col("_cl_lang")), "left")
     high = F.coalesce("high", F.lit(every * MARGIN))

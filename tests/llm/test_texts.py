@@ -100,6 +100,15 @@ def test_classifier_knows_words(spark):
     assert len(kept & set(range(800, 900))) >= 95 and not kept & set(range(900, 1000))
 
 
+def test_small_language_has_a_bound_of_its_own(spark):
+    rng = random.Random(5)
+    text = lambda tag, n: " ".join(f"{tag}{int(rng.random() ** 3 * n)}" for _ in range(60))
+    rows = [(i, "en", text("e", 300)) for i in range(600)] + [(600 + i, "xx", text("x", 30)) for i in range(60)] + [(660, "yy", text("e", 300))]
+    labels = spark.createDataFrame([(i, 1) for i in range(660)], "doc_id bigint, quality int")
+    high = {r.lang: r.high for r in language_model.classify(spark.createDataFrame(rows, "doc_id bigint, lang string, text string"), labels).collect()}
+    assert high["xx"] < 0.9 * high["yy"]
+
+
 def test_classifier_edges(docs, empty, spark):
     labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(3, 1)], "doc_id bigint, quality int")
     out = language_model.classify(docs, labels).collect()
