@@ -30,7 +30,6 @@ RANGES = 1024
 RANGE_BYTES = 512 << 20  # beyond 1024 of these the number of ranges grows with the input, so that a range fits in a task
 MOST_RANGES = 1 << 16
 SAMPLE_PER_RANGE = 8
-MAX_ROUNDS = 4
 
 
 class Splitters:
@@ -123,7 +122,7 @@ def shard(df: DataFrame, size: Column, content: Column, row_id: Column, n_shards
         return df.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     ranges = min(MOST_RANGES, max(ranges, 16 * n_shards, total // RANGE_BYTES))
     splitters = _splitters(_weighted_sample(slim, total, ranges * SAMPLE_PER_RANGE), ranges)
-    for _ in range(MAX_ROUNDS):
+    while True:  # each round adds splitters, of which there are no more than keys
         sums = {r[0]: (r[1], r[2]) for r in _ranges_of(slim, splitters).groupBy("_cl_range").agg(F.sum("_cl_size"), F.count("*")).collect()}
         full = {i: s for i, (s, n) in sums.items() if s > 6 * total / ranges and n > 1}
         if not full:

@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cohortlake.llm import chat, line_dedup, mixing, registry, sharding, warc
 from cohortlake.llm.common import n_words_of, work_path
@@ -139,3 +140,21 @@ def test_chat_collapses_snapshots(spark):
     rows = [(c, t, "user", f"text {c // 50} {t}") for c in range(200) for t in range(1 + c % 50)]
     out = chat.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
     assert sorted(r.conv_id for r in out) == [49, 99, 149, 199]
+
+
+def test_shards_cut_to_the_end(spark, monkeypatch):
+    """Samples that cut one row off a full range in each round: more than four rounds, no row lost."""
+    draw = sharding._weighted_sample
+
+    def slow(keys, total, n, where=None):
+        if where is None:
+            return draw(keys, total, n)[:1]
+        by = {}
+        for r in sorted(keys.where(where).select("_cl_range", "_cl_h", "_cl_d").collect()):
+            by.setdefault(r[0], []).append((r[1], r[2], 1.0))
+        return [x[1] for x in by.values() if len(x) > 1]
+
+    monkeypatch.setattr(sharding, "_weighted_sample", slow)
+    df = spark.range(24).withColumnRenamed("id", "k")
+    out = sharding.shard(df, F.lit(1), F.col("k"), F.col("k"), 1, 16).collect()
+    assert sorted(r.k for r in out) == list(range(24)) and sorted(r.slot for r in out) == list(range(24))
