@@ -4,7 +4,7 @@ Pass 1   every task streams its documents, hashes the line keys (once a document
          flag for those it saw in two documents, to the segment of the hash space that owns them (8 bytes a key).
          The owner feeds them to a *once-seen* filter; a hash that is in it already enters the *twice-seen* filter.
 Pass 2   the twice-seen filters (1 bit in 8 of the once-seen ones; broadcast if their total is within
-         ``BROADCAST_BYTES``, else the hashes are counted exactly by a shuffle) are probed while the documents stream
+         ``BROADCAST_BYTES``, else there are none and every key is a suspect) are probed while the documents stream
          by again: only suspected repeats are shuffled, as 128-bit digests of their keys.
 Confirm  suspects are counted exactly by (digest, document); keys in at least ``min_docs`` documents name the largest
          document id as the one that keeps them.
