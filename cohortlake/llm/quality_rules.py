@@ -34,21 +34,25 @@ def _trigrams(words: str) -> Column:
     return F.when(n >= 3, three).otherwise(F.array().cast("array<bigint>"))
 
 
-def _repeated(grams: str) -> Column:
-    """array<bigint>: the hashes that occur twice or more (equal neighbours after sorting)."""
-    s = F.sort_array(grams)
-    return F.transform(F.filter(F.arrays_zip(s.alias("a"), F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(0))).alias("b")), lambda p: p["a"] == p["b"]), lambda p: p["a"])
+def _sorted_with_positions() -> Column:
+    """array<bigint>: the high bits of every window's hash with its position in the low ones, sorted as plain numbers."""
+    return F.sort_array(F.transform("_cl_g", lambda h, i: h.bitwiseAND(F.bitwise_not(F.col("_cl_low"))).bitwiseOR(i.cast("long"))))
 
 
-def _covered(grams: str) -> Column:
-    """Words inside windows whose hash occurs twice or more: sort (hash, position), mark runs, add up the union of the windows."""
-    pairs = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(pairs)
-    shifted_up = F.concat(F.array(F.lit(None).cast("struct<h:bigint,i:int>")), F.slice(pairs, 1, n - 1))
-    shifted_down = F.concat(F.slice(pairs, 2, n - 1), F.array(F.lit(None).cast("struct<h:bigint,i:int>")))
-    marked = F.filter(F.arrays_zip(pairs.alias("p"), shifted_up.alias("u"), shifted_down.alias("d")), lambda x: (x["p"]["h"] == x["u"]["h"]) | (x["p"]["h"] == x["d"]["h"]))
-    at = F.sort_array(F.transform(marked, lambda x: x["p"]["i"]))
-    return at
+def _repeat_positions() -> Column:
+    """array<bigint>: the positions, in order, of the windows whose hash occurs twice or more.
+
+    Equal hashes are neighbours in the sorted numbers; the whole hashes of neighbours that look equal are compared.  (A
+    position would be missed only if another hash with the same high bits, at least 33 of them, stood between the two.)
+    """
+    s, low, g = F.col("_cl_s"), F.col("_cl_low"), F.col("_cl_g")
+
+    def same(x: Column, y: Column) -> Column:
+        at = lambda v: F.get(g, v.bitwiseAND(low).cast("int"))
+        return F.coalesce((x.bitwiseXOR(y) <= low) & (x.bitwiseXOR(y) >= 0) & (at(x) == at(y)), F.lit(False))
+
+    marked = F.filter(s, lambda v, i: same(v, F.get(s, i + 1)) | same(v, F.get(s, i - 1)))
+    return F.sort_array(F.transform(marked, lambda v: v.bitwiseAND(low)))
 
 
 def _union_length(at: str) -> Column:
@@ -57,30 +61,39 @@ def _union_length(at: str) -> Column:
     return F.when(n > 0, F.aggregate(gaps, F.lit(3).cast("long"), lambda s, g: s + g)).otherwise(F.lit(0).cast("long"))
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_upper", "n_bang", "n_lines", "n_dup_lines", "n_distinct", "n_repeat_words")
+MARKED = r"[^#*$%&|<>!?\p{Lu}]+"  # all but the characters that are counted
+
+
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without its text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the other counts.
 
-    A null or empty text has all counts 0.
+    A null or empty text has all counts 0.  Columns of ``docs`` named like a count are replaced, whatever their case.
     """
+    clash = {x.lower() for x in COUNTS}
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in clash])
     t = F.coalesce(F.col(text), F.lit(""))
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text]
-    step = docs.select(*rest, t.alias("_cl_t"), words_of(t).alias("_cl_w"), F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0).alias("_cl_l"))
+    lines = F.filter(F.split(t, "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE_CHARS))) > 0)
+    step = docs.select(*rest, words_of(t).alias("_cl_w"), lines.alias("_cl_l"), F.regexp_replace(t, MARKED, "").alias("_cl_m"))
+    count = lambda c: c.cast("long")
     step = step.select(
         *rest, "_cl_w",
-        F.size("_cl_w").cast("long").alias("n_words"),
-        F.length(F.array_join("_cl_w", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_cl_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        F.length(F.regexp_replace("_cl_t", r"[^\p{Lu}]+", "")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace("_cl_t", r"[^!?]+", "")).cast("long").alias("n_bang"),
-        F.size("_cl_l").cast("long").alias("n_lines"),
-        (F.size("_cl_l") - F.size(F.array_distinct("_cl_l"))).cast("long").alias("n_dup_lines"),
-        F.size(F.array_distinct("_cl_w")).cast("long").alias("n_distinct"),
+        count(F.size("_cl_w")).alias("n_words"),
+        count(F.length(F.array_join("_cl_w", ""))).alias("word_chars"),
+        count(F.length(F.regexp_replace("_cl_m", r"[^#*$%&|<>]+", ""))).alias("n_symbols"),
+        count(F.length(F.regexp_replace("_cl_m", r"[^\p{Lu}]+", ""))).alias("n_upper"),
+        count(F.length(F.regexp_replace("_cl_m", r"[^!?]+", ""))).alias("n_bang"),
+        count(F.size("_cl_l")).alias("n_lines"),
+        count(F.size("_cl_l") - F.size(F.array_distinct("_cl_l"))).alias("n_dup_lines"),
+        count(F.size(F.array_distinct("_cl_w"))).alias("n_distinct"),
     )
-    counts = ["n_words", "word_chars", "n_symbols", "n_upper", "n_bang", "n_lines", "n_dup_lines", "n_distinct"]
-    step = step.select(*rest, *counts, _trigrams("_cl_w").alias("_cl_g"))
-    some = F.size(F.array_distinct("_cl_g")) < F.size("_cl_g")
-    step = step.select(*rest, *counts, F.when(some, _covered("_cl_g")).otherwise(F.array().cast("array<int>")).alias("_cl_at"))
-    return step.select(*rest, *counts, _union_length("_cl_at").alias("n_repeat_words"))
+    step = step.select(*rest, *COUNTS[:-1], _trigrams("_cl_w").alias("_cl_g"))
+    low = F.expr("shiftleft(1L, length(bin(size(_cl_g)))) - 1")
+    step = step.select(*rest, *COUNTS[:-1], "_cl_g", low.alias("_cl_low"), (F.size(F.array_distinct("_cl_g")) < F.size("_cl_g")).alias("_cl_some"))
+    step = step.withColumn("_cl_s", F.when(F.col("_cl_some"), _sorted_with_positions()).otherwise(F.array().cast("array<bigint>")))
+    step = step.select(*rest, *COUNTS[:-1], _repeat_positions().alias("_cl_at"))
+    return step.select(*rest, *COUNTS[:-1], _union_length("_cl_at").alias("n_repeat_words"))
 
 
 def feature(name: str) -> Column:
@@ -189,6 +202,7 @@ def learn(labelled: DataFrame) -> list[Rule]:
     """Sequential covering over rows with the statistics and ``quality`` (0 bad, else good; null rows are left out).
 
     No labelled row, or none that is bad, gives an empty list.
+    The list ends at the first rule that is not precise enough, or with ``MAX_RULES`` rules: a model of bounded size.
     """
     rows = labelled.where(F.col("quality").isNotNull()).withColumn("_cl_grow", F.pmod(F.xxhash64("doc_id", F.lit("grow")), F.lit(3)) < 2)
     cuts = _cuts(rows)
