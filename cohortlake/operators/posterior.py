@@ -143,15 +143,27 @@ def psrf(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def convergence(draws: DataFrame, threshold: float = 1.1, level: int = 2) -> DataFrame:
-    """max_psrf and converged of each fit, over intercept, precisions, overdispersion and the predictor of every cell."""
-    keys = [*FIT, "chain", "draw"]
-    eta = draws.select(*keys, F.lit("eta").alias("param"), F.posexplode("eta").alias("idx", "value"))
-    rows = long_parameters(draws).where(F.col("param") != "deviance").unionByName(eta)
-    r = psrf(rows, *FIT, "param", "idx").withColumn("_r", F.col("upper") if level == 2 else F.col("psrf"))
+    """max_psrf and converged of each fit, over intercept, precisions, overdispersion and the predictor of every cell.
+
+    A fit of one chain, or without draws, has no max_psrf and counts as not converged.
+    """
+    keys, good = [*FIT, "chain", "draw"], draws.where(F.col("error").isNull())
+    eta = good.select(*keys, F.lit("eta").alias("param"), F.posexplode("eta").alias("idx", "value"))
+    rows = long_parameters(good).where(F.col("param") != "deviance").unionByName(eta)
+    r = psrf(rows, *FIT, "param", "idx") if level == 2 else psrf_point(rows, *FIT, "param", "idx")
+    r = r.withColumn("_r", F.col("upper" if level == 2 else "psrf"))
     out = r.groupBy(*FIT).agg(F.max(F.when(~F.isnan("_r"), F.col("_r"))).alias("max_psrf"))
+    out = draws.select(*FIT).distinct().join(out, list(FIT), "left")
     return out.withColumn("converged", F.coalesce(F.col("max_psrf") < threshold, F.lit(False)))
 
 
+def thin(draws: DataFrame, keep: int = 1000) -> DataFrame:
+    """Every n-th draw of each chain, so that about ``keep`` of each are left."""
+    n = F.count("*").over(Window.partitionBy(*FIT, "chain"))
+    step = F.greatest(F.lit(1), F.round(n / F.lit(keep)).cast("int"))
+    return draws.withColumn("_step", step).where((F.col("draw") + 1) % F.col("_step") == 0).drop("_step")
+
+
 # --------------------------------------------------------------------------- deviance information
 def fitted(draws: DataFrame, n_periods: int) -> DataFrame:
     """Posterior mean of the predictor of every cell."""
@@ -167,6 +179,7 @@ def information(draws: DataFrame, cells: DataFrame, n_periods: int) -> DataFrame
     """(series_id, spec_id, mean_deviance, deviance_at_mean, pd, dic)."""
     from .relational import deviance
 
+    draws = draws.where(F.col("error").isNull())
     d = draws.groupBy(*FIT).agg(F.avg("deviance").alias("mean_deviance"))
     at = deviance(fitted(draws, n_periods).join(cells.select("series_id", "age_idx", "period_idx", "population", "cases"), ["series_id", "age_idx", "period_idx"]), *FIT)
     return d.join(at.withColumnRenamed("deviance", "deviance_at_mean"), list(FIT)).withColumns(dic(F.col("mean_deviance"), F.col("deviance_at_mean")))
@@ -177,8 +190,24 @@ def summary(draws: DataFrame) -> DataFrame:
     return quantiles(long_parameters(draws), [0.05, 0.5, 0.95], *FIT, "param")
 
 
-def plot_data(draws: DataFrame, spec: ModelSpec, per_age: int, probabilities: tuple[float, ...] = (0.05, 0.5, 0.95), convention: str = "age", combined: bool = False) -> DataFrame:
-    """Quantile curves of every effect with the line type to draw them with: solid for the middle one, dashed for others."""
-    q = effects(draws, spec, per_age, list(probabilities), convention, combined)
+def plot_data(draws: DataFrame, spec: ModelSpec, per_age: int, probabilities: tuple[float, ...] = (0.05, 0.5, 0.95), convention: str = "age", combined: bool = False, covariates: dict[str, list[float]] | None = None) -> DataFrame:
+    """Quantile curves of every effect with the line type to draw them with: solid for the middle one, dashed for others.
+
+    ``panel`` is effect; for an axis with a covariate there are also the panels covariate (its values) and relative (the
+    effect over the covariate).  Effects of a model with covariates are left in their own gauge.
+    """
+    q = effects(draws, spec, per_age, list(probabilities), convention, combined, bool(covariates)).withColumn("panel", F.lit("effect"))
     middle = sorted(probabilities)[len(probabilities) // 2]
+    for axis, values in (covariates or {}).items():
+        known = draws.sparkSession.createDataFrame([(axis, i + 1, float(v)) for i, v in enumerate(values)], "param string, idx int, _v double")
+        rows = long_effects(draws, combined).join(F.broadcast(known), ["param", "idx"]).withColumn("value", F.try_divide("value", "_v"))
+        q = q.unionByName(quantiles(rows, list(probabilities), *FIT, "param", "idx").withColumn("panel", F.lit("relative")))
+        fits = draws.select(*FIT).distinct().join(F.broadcast(known))
+        q = q.unionByName(fits.select(*FIT, "param", "idx", F.lit(float(middle)).alias("probability"), F.col("_v").alias("value"), F.lit("covariate").alias("panel")))
     return q.withColumn("line", F.when(F.col("probability") == middle, "solid").otherwise("dashed"))
+
+
+def plot_ranges(curves: DataFrame) -> DataFrame:
+    """The range of every axis of ``plot_data``: smallest and largest finite value of a panel and its indices."""
+    fine = F.when(~F.isnan("value") & (F.abs("value") != float("inf")), F.col("value"))
+    return curves.groupBy(*FIT, "param", "panel").agg(F.min(fine).alias("low"), F.max(fine).alias("high"), F.min("idx").alias("first"), F.max("idx").alias("last"))

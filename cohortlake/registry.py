@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import api
 from .functions import expressions as e
 from .operators import posterior, predict, relational, simulate
 from .operators.sampler import sample
@@ -117,13 +118,6 @@ def rarity_auto_mcmc(spark, sf_dir):
     return relational.auto_mcmc(shipment_cells(spark, sf_dir)).withColumns(r6("zero_frac", "few_frac"))
 
 
-@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem)
-SELECT l_linenumber AS line, round(avg(CAST(cases AS DOUBLE)), 6) AS mean_cases, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_linenumber, CAST(l_quantity AS BIGINT) % 7 AS cases FROM x) GROUP BY 1""")
-def thinned_means(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("line"), (F.col("l_quantity").cast("long") % 7).alias("cases"))
-    return rows.groupBy("line").agg(F.round(F.avg("cases"), 6).alias("mean_cases"), F.count("*").alias("n"))
-
-
 # --------------------------------------------------------------------------- starting values, predictor, deviance
 @query(f"WITH {ETA} SELECT 'mu' AS param, 0 AS idx, round(mu, 6) AS value FROM m UNION ALL SELECT 'age', age_idx, round(effect, 6) FROM a UNION ALL SELECT 'period', period_idx, round(effect, 6) FROM b")
 def start_values(spark, sf_dir):
@@ -289,11 +283,6 @@ def quantiles_type7(spark, sf_dir):
     return posterior.quantiles(_pseudo(spark, sf_dir), [0.05, 0.5, 0.95], "param", "idx").withColumns(r6("value"))
 
 
-@query(f"WITH {PSEUDO} SELECT param, idx, round(avg(value), 6) AS value FROM pseudo GROUP BY 1, 2")
-def mean_effects(spark, sf_dir):
-    return _pseudo(spark, sf_dir).groupBy("param", "idx").agg(F.round(F.avg("value"), 6).alias("value"))
-
-
 @query(f"""WITH {PSEUDO}, one AS (SELECT param, idx, chain, avg(value) AS m, var_samp(value) AS s2, CAST(count(*) AS DOUBLE) AS n FROM pseudo GROUP BY 1, 2, 3),
 two AS (SELECT param, idx, CAST(count(*) AS DOUBLE) AS k, avg(n) AS n, avg(s2) AS w, avg(n) * var_samp(m) AS b, var_samp(s2) AS vs, covar_samp(s2, m * m) AS c2, covar_samp(s2, m) AS c1, avg(m) AS mean FROM one GROUP BY 1, 2),
 v AS (SELECT *, (n - 1) / n * w + (1 + 1 / k) * b / n AS v, vs / k AS vw, 2 * b * b / (k - 1) AS vb, n / k * (c2 - 2 * mean * c1) AS cwb FROM two),
@@ -308,13 +297,6 @@ def psrf_upper(spark, sf_dir):
     return posterior.psrf(_pseudo(spark, sf_dir), "param", "idx").withColumns(r6("psrf", "upper"))
 
 
-@query(f"""WITH {PSEUDO}, d AS (SELECT param AS spec_id, avg(value) AS dbar, avg(value) - var_samp(value) / 2 AS plug FROM pseudo GROUP BY 1)
-SELECT spec_id, round(dbar, 6) AS mean_deviance, round(dbar - plug, 6) AS pd, round(2 * dbar - plug, 6) AS dic FROM d""")
-def dic_identity(spark, sf_dir):
-    d = _pseudo(spark, sf_dir).groupBy(F.col("param").alias("spec_id")).agg(F.avg("value").alias("mean_deviance"), (F.avg("value") - F.var_samp("value") / 2).alias("at"))
-    return d.withColumns(posterior.dic(F.col("mean_deviance"), F.col("at"))).drop("at").withColumns(r6("mean_deviance", "pd", "dic"))
-
-
 _SPECS = f"""{PSEUDO}, f AS (SELECT 'm' || lpad(CAST(idx AS VARCHAR), 2, '0') AS spec_id, CASE WHEN idx = 3 THEN NULL ELSE round(avg(value) * 100, 4) END AS dic, idx % 3 <> 0 AS converged FROM pseudo GROUP BY idx)"""
 
 
@@ -336,6 +318,108 @@ def best_spec_margin(spark, sf_dir):
     return f.join(F.broadcast(b)).select("spec_id", "dic", F.round(F.col("dic") - F.col("best"), 4).alias("gap"), (F.col("dic") - F.col("best") < 4.0).alias("within_margin"))
 
 
+# --------------------------------------------------------------------------- the functions of a fit on made-up draws of known values
+_FULL = ModelSpec("rw1", "rw1+het", "rw1")
+_VALUES = {  # of chain c, draw d and index i
+    "age": "((c * 7 + d * 13 + i * 5) % 11) / 10.0e0 - 0.5e0", "period": "((c * 5 + d * 11 + i * 3) % 9) / 10.0e0 - 0.4e0", "cohort": "((c * 3 + d * 5 + i * 7) % 17) / 20.0e0 - 0.4e0",
+    "period2": "((c + d * 3 + i * 2) % 7) / 50.0e0 - 0.06e0",
+}
+_NUMBERS = {"intercept": "((c * 3 + d * 7) % 13) / 50.0e0 - 0.5e0", "deviance": "100.0e0 + (c * 11 + d * 17) % 29", "age_parameter": "1.0e0 + (c + d * 5) % 6", "period_parameter": "2.0e0 + (c * 2 + d) % 9", "cohort_parameter": "3.0e0 + (c + d) % 4", "period2_parameter": "4.0e0 + (c * 3 + d) % 5"}
+_LENGTHS = {"age": AGES, "period": PERIODS, "cohort": COHORTS, "period2": PERIODS}
+_CHAINS, _DRAWS = 4, 25
+_ROWS = " UNION ALL ".join(f"SELECT c, d, '{k}' AS param, i, {_VALUES[k]} AS value FROM cd, range(1, {n + 1}) z(i)" for k, n in _LENGTHS.items())
+_PARAMETERS = " UNION ALL ".join(f"SELECT c, d, '{k}' AS param, {v} AS value FROM cd" for k, v in _NUMBERS.items())
+_MADE = f"""cd AS (SELECT c, d FROM range(0, {_CHAINS}) x(c), range(0, {_DRAWS}) y(d)), made AS ({_ROWS}), numbers AS ({_PARAMETERS}),
+made_eta AS (SELECT n.c, n.d, a.i AS age_idx, p.i AS period_idx, n.value + a.value + p.value + q.value + k.value AS eta
+  FROM numbers n JOIN made a ON n.param = 'intercept' AND a.param = 'age' AND a.c = n.c AND a.d = n.d JOIN made p ON p.param = 'period' AND p.c = n.c AND p.d = n.d
+  JOIN made q ON q.param = 'period2' AND q.c = n.c AND q.d = n.d AND q.i = p.i JOIN made k ON k.param = 'cohort' AND k.c = n.c AND k.d = n.d AND k.i = ({AGES} - a.i) * {PER_AGE} + p.i)"""
+_MADE_GAUGE = f"""{_MADE}, s AS (SELECT c, d, -0.5e0 * regr_slope(value, CAST(i AS DOUBLE)) AS f FROM made WHERE param = 'age' GROUP BY c, d),
+g AS (SELECT made.c, made.d, param, i, value + CASE param WHEN 'age' THEN f * {PER_AGE} * i WHEN 'period' THEN -f * i ELSE f * i END AS value FROM made JOIN s ON made.c = s.c AND made.d = s.d WHERE param <> 'period2'),
+fixed AS (SELECT c, d, param, CAST(i AS INTEGER) AS idx, value - avg(value) OVER (PARTITION BY c, d, param) AS value FROM g)"""
+
+
+def _quantile_sql(keys: str, source: str, probabilities: tuple[float, ...]) -> str:
+    return " UNION ALL ".join(f"SELECT {keys}, CAST({p} AS DOUBLE) AS probability, round(quantile_cont(value, {p}), 9) AS value FROM {source} GROUP BY {keys}" for p in probabilities)
+
+
+def _made_draws(spark):
+    """A table like the sampler's, with the values above."""
+    array = lambda k: F.expr(f"transform(sequence(1, {_LENGTHS[k]}), i -> CAST({_VALUES[k]} AS DOUBLE))")
+    rows = spark.range(_CHAINS * _DRAWS).select(F.lit("all").alias("series_id"), F.lit(_FULL.key).alias("spec_id"), (F.col("id") % _CHAINS).cast("int").alias("c"), F.floor(F.col("id") / _CHAINS).cast("int").alias("d"))
+    rows = rows.withColumns({k: array(k) for k in _VALUES} | {k: F.expr(v).cast("double") for k, v in _NUMBERS.items()})
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = rows.withColumns({"age2": none("array<double>"), "cohort2": none("array<double>"), "age2_parameter": none("double"), "cohort2_parameter": none("double"), "overdispersion": none("double"), "accepted": F.lit(1.0), "seconds": F.lit(0.0), "error": none("string")})
+    eta = F.expr(f"transform(sequence(0, {AGES * PERIODS - 1}), k -> intercept + age[int(k div {PERIODS})] + period[k % {PERIODS}] + period2[k % {PERIODS}] + cohort[int(({AGES - 1} - k div {PERIODS}) * {PER_AGE} + k % {PERIODS})])")
+    return rows.withColumn("eta", eta).withColumnsRenamed({"c": "chain", "d": "draw"})
+
+
+@query(f"WITH {_MADE_GAUGE} SELECT param, idx, round(avg(value), 9) AS value FROM fixed GROUP BY 1, 2")
+def effects_mean(spark, sf_dir):
+    return posterior.effects(_made_draws(spark), _FULL, PER_AGE, None).select("param", "idx", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {_MADE_GAUGE} {_quantile_sql('param, idx', 'fixed', (0.1, 0.5, 0.9))}")
+def effects_quantiles(spark, sf_dir):
+    return posterior.effects(_made_draws(spark), _FULL, PER_AGE, [0.1, 0.5, 0.9]).select("param", "idx", "probability", F.round("value", 9).alias("value"))
+
+
+@query(f"""WITH {_MADE}, h AS (SELECT p.c, p.d, CAST(p.i AS INTEGER) AS idx, p.value + q.value AS value FROM made p JOIN made q ON p.param = 'period' AND q.param = 'period2' AND p.c = q.c AND p.d = q.d AND p.i = q.i)
+SELECT 'period' AS param, idx, round(avg(value), 9) AS value FROM h GROUP BY 2 UNION ALL SELECT param, CAST(i AS INTEGER), round(avg(value), 9) FROM made WHERE param IN ('age', 'cohort') GROUP BY 1, 2""")
+def effects_with_heterogeneity(spark, sf_dir):
+    return posterior.effects(_made_draws(spark), _FULL, PER_AGE, None, "none", combined=True).select("param", "idx", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {_MADE} {_quantile_sql('param', 'numbers', (0.05, 0.5, 0.95))}")
+def parameter_summary(spark, sf_dir):
+    return posterior.summary(_made_draws(spark)).select("param", "probability", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {_MADE} SELECT CAST(age_idx AS INTEGER) AS age_idx, CAST(period_idx AS INTEGER) AS period_idx, round(avg(eta), 9) AS eta FROM made_eta GROUP BY 1, 2")
+def fitted_predictor(spark, sf_dir):
+    return posterior.fitted(_made_draws(spark), PERIODS).select("age_idx", "period_idx", F.round("eta", 9).alias("eta"))
+
+
+@query(f"""WITH {CELLS}, {_MADE}, f AS (SELECT age_idx, period_idx, avg(eta) AS eta FROM made_eta GROUP BY 1, 2),
+x AS (SELECT c.*, population / (1.0e0 + exp(-eta)) AS expected FROM c JOIN f USING (age_idx, period_idx)), m AS (SELECT avg(value) AS dbar FROM numbers WHERE param = 'deviance'),
+p AS (SELECT sum({_DEV}) AS plug FROM x) SELECT round(dbar, 5) AS mean_deviance, round(plug, 5) AS deviance_at_mean, round(dbar - plug, 5) AS pd, round(2 * dbar - plug, 5) AS dic FROM m CROSS JOIN p""")
+def deviance_information(spark, sf_dir):
+    out = posterior.information(_made_draws(spark), _one_series(spark, sf_dir), PERIODS)
+    return out.select(*[F.round(c, 5).alias(c) for c in ("mean_deviance", "deviance_at_mean", "pd", "dic")])
+
+
+@query(f"""WITH {_MADE}, x AS (SELECT c AS chain, 'eta' AS param, (age_idx - 1) * {PERIODS} + period_idx AS idx, eta AS value FROM made_eta UNION ALL SELECT c, param, 0, value FROM numbers WHERE param <> 'deviance'),
+one AS (SELECT param, idx, chain, avg(value) AS m, var_samp(value) AS s2, CAST(count(*) AS DOUBLE) AS n FROM x GROUP BY 1, 2, 3),
+two AS (SELECT param, idx, CAST(count(*) AS DOUBLE) AS k, avg(n) AS n, avg(s2) AS w, avg(n) * var_samp(m) AS b, var_samp(s2) AS vs, covar_samp(s2, m * m) AS c2, covar_samp(s2, m) AS c1, avg(m) AS mean FROM one GROUP BY 1, 2),
+v AS (SELECT *, (n - 1) / n * w + (1 + 1 / k) * b / n AS v, vs / k AS vw, 2 * b * b / (k - 1) AS vb, n / k * (c2 - 2 * mean * c1) AS cwb FROM two),
+d AS (SELECT *, 2 * v * v / ((((n - 1) * (n - 1)) * vw + ((1 + 1 / k) * (1 + 1 / k)) * vb + 2 * (n - 1) * (1 + 1 / k) * cwb) / (n * n)) AS df FROM v),
+r AS (SELECT max(sqrt((df + 3) / (df + 1) * ((n - 1) / n + (1 + 1 / k) * b / (n * w)))) AS r FROM d) SELECT round(r, 9) AS max_psrf, r < 1.1e0 AS converged FROM r""")
+def convergence_point(spark, sf_dir):
+    return posterior.convergence(_made_draws(spark), 1.1, 1).select(F.round("max_psrf", 9).alias("max_psrf"), "converged")
+
+
+@query(f"WITH {_MADE} SELECT CAST(c AS INTEGER) AS chain, CAST(count(*) AS BIGINT) AS n, round(avg(value), 9) AS mean_deviance FROM numbers WHERE param = 'deviance' AND (d + 1) % 3 = 0 GROUP BY 1")
+def thinned_draws(spark, sf_dir):
+    return posterior.thin(_made_draws(spark), 8).groupBy("chain").agg(F.count("*").alias("n"), F.round(F.avg("deviance"), 9).alias("mean_deviance"))
+
+
+@query(f"WITH {_MADE}, r AS (SELECT CAST(age_idx AS INTEGER) AS age_idx, CAST(period_idx AS INTEGER) AS period_idx, 1.0e0 / (1.0e0 + exp(-eta)) AS value FROM made_eta) {_quantile_sql('age_idx, period_idx', 'r', (0.05, 0.5, 0.95))}")
+def predicted_rates(spark, sf_dir):
+    rates = predict.predict(_made_draws(spark), [_FULL], _one_series(spark, sf_dir), AGES, PERIODS, PER_AGE)["rates"]
+    return rates.select("age_idx", "period_idx", "probability", F.round("value", 9).alias("value"))
+
+
+_CURVE = [1.0 + 0.125 * j for j in range(PERIODS)]
+
+
+@query(f"""WITH {_MADE}, v AS (SELECT i, 1.0e0 + 0.125e0 * (i - 1) AS v FROM range(1, {PERIODS + 1}) z(i)),
+e AS (SELECT 'effect' AS panel, param, CAST(i AS INTEGER) AS idx, value FROM made WHERE param <> 'period2' UNION ALL SELECT 'relative', param, CAST(made.i AS INTEGER), value / v FROM made JOIN v ON made.i = v.i WHERE param = 'period'),
+q AS ({_quantile_sql('panel, param, idx', 'e', (0.05, 0.5, 0.95))} UNION ALL SELECT 'covariate', 'period', CAST(i AS INTEGER), 0.5e0, v FROM v)
+SELECT *, CASE WHEN probability = 0.5e0 THEN 'solid' ELSE 'dashed' END AS line FROM q""")
+def plot_panels(spark, sf_dir):
+    curves = posterior.plot_data(_made_draws(spark), _FULL, PER_AGE, covariates={"period": _CURVE})
+    return curves.select("panel", "param", "idx", "probability", F.round("value", 9).alias("value"), "line")
+
+
 # --------------------------------------------------------------------------- forecasts
 def _path(order: int) -> str:
     step = "0.0e0" if order == 1 else "l.value - p.value"
@@ -383,6 +467,10 @@ def _one_series(spark, sf_dir):
     return shipment_cells(spark, sf_dir).withColumn("series_id", F.lit("all"))
 
 
+def _fit(spark, sf_dir, spec: ModelSpec, mcmc: Mcmc = FAST) -> api.ApcFit:
+    return api.fit(_one_series(spark, sf_dir), spec, AGES, PERIODS, PER_AGE, mcmc)
+
+
 @query()
 def fit_apc(spark, sf_dir):
     draws = sample(_one_series(spark, sf_dir), [ModelSpec("rw1", "rw1", "rw1")], FAST, AGES, PERIODS, PER_AGE)
@@ -398,43 +486,38 @@ def fit_many_series(spark, sf_dir):
 
 @query()
 def check_convergence(spark, sf_dir):
-    return posterior.convergence(sample(_one_series(spark, sf_dir), [ModelSpec("rw1", "rw1", "rw1")], FAST, AGES, PERIODS, PER_AGE)).select("series_id", "spec_id", F.round("max_psrf", 3).alias("max_psrf"), "converged")
+    return _fit(spark, sf_dir, ModelSpec("rw1", "rw1", "rw1")).convergence().select("series_id", "spec_id", F.round("max_psrf", 3).alias("max_psrf"), "converged")
 
 
 @query()
 def information_criterion(spark, sf_dir):
-    cells = _one_series(spark, sf_dir)
-    draws = sample(cells, [ModelSpec("rw1", "rw1", "rw1")], FAST, AGES, PERIODS, PER_AGE)
-    return posterior.information(draws, cells, PERIODS).withColumns({c: F.round(c, 2) for c in ("mean_deviance", "deviance_at_mean", "pd", "dic")})
+    return _fit(spark, sf_dir, ModelSpec("rw1", "rw1", "rw1")).information().withColumns({c: F.round(c, 2) for c in ("mean_deviance", "deviance_at_mean", "pd", "dic")})
 
 
 @query()
 def effects_apc(spark, sf_dir):
-    spec = ModelSpec("rw1", "rw1", "rw1")
-    return posterior.effects(sample(_one_series(spark, sf_dir), [spec], FAST, AGES, PERIODS, PER_AGE), spec, PER_AGE, [0.05, 0.5, 0.95]).withColumns({"value": F.round("value", 4)})
+    return _fit(spark, sf_dir, ModelSpec("rw1", "rw1", "rw1")).effects([0.05, 0.5, 0.95]).withColumns({"value": F.round("value", 4)})
 
 
 @query()
 def plot_data(spark, sf_dir):
-    spec = ModelSpec("rw2", "rw2", None)
-    return posterior.plot_data(sample(_one_series(spark, sf_dir), [spec], FAST, AGES, PERIODS, PER_AGE), spec, PER_AGE).withColumns({"value": F.round("value", 4)})
+    return _fit(spark, sf_dir, ModelSpec("rw2", "rw2", None)).plot_data().withColumns({"value": F.round("value", 4)})
 
 
 @query()
 def print_summary(spark, sf_dir):
-    return posterior.summary(sample(_one_series(spark, sf_dir), [ModelSpec("rw1+het", "rw1", None, overdisp=True)], FAST, AGES, PERIODS, PER_AGE)).withColumns({"value": F.round("value", 4)})
+    return posterior.summary(_fit(spark, sf_dir, ModelSpec("rw1+het", "rw1", None, overdisp=True)).draws).withColumns({"value": F.round("value", 4)})
 
 
 @query()
 def predict_apc(spark, sf_dir):
-    cells, spec = _one_series(spark, sf_dir), ModelSpec("rw1", "rw2", "rw1")
-    draws = sample(cells, [spec], Mcmc(400, 200, 1, 2), AGES, PERIODS, PER_AGE)
-    return predict.predict(draws, [spec], cells, AGES, PERIODS, PER_AGE, 3)["rates"].withColumns({"value": F.round("value", 5)})
+    return _fit(spark, sf_dir, ModelSpec("rw1", "rw2", "rw1"), Mcmc(400, 200, 1, 2)).predict(3)["rates"].withColumns({"value": F.round("value", 5)})
 
 
 @query()
 def select_apc_model(spark, sf_dir):
-    return select_model(_one_series(spark, sf_dir), AGES, PERIODS, PER_AGE, pinned={"cohort": None}, screen=Mcmc(400, 200, 1, 2)).table.withColumns({"dic": F.round("dic", 2)})
+    found = select_model(_one_series(spark, sf_dir), AGES, PERIODS, PER_AGE, pinned={"cohort": None}, screen=Mcmc(400, 200, 1, 2), refit=False).table
+    return found.drop("seconds").withColumns({c: F.round(c, 2) for c in ("dic", "pd", "mean_deviance", "max_psrf")})
 
 
 # --------------------------------------------------------------------------- streaming ingest, run over the stored events

@@ -41,6 +41,13 @@ def cells_from_matrices(spark: SparkSession, cases: list[list[int]], population:
     return spark.createDataFrame(rows, "series_id string, age_idx int, period_idx int, cohort_idx int, population bigint, cases bigint")
 
 
+def matrix(cells: DataFrame, value: str, n_ages: int, by_period: bool = True) -> DataFrame:
+    """A wide table of ``value``: a row a period and a column an age group (a1, a2, ...), or a row an age group and columns p1, p2, ..."""
+    row, column, letter = ("period_idx", "age_idx", "a") if by_period else ("age_idx", "period_idx", "p")
+    n = range(1, n_ages + 1) if by_period else sorted(r[0] for r in cells.select("period_idx").distinct().collect())
+    return cells.groupBy(row).agg(*[F.max(F.when(F.col(column) == k, F.col(value))).alias(f"{letter}{k}") for k in n])
+
+
 def grid(spark: SparkSession, n_ages: int, n_periods: int, per_age: int) -> DataFrame:
     """All (age, period) cells of a Lexis diagram."""
     ages = spark.range(1, n_ages + 1).select(F.col("id").cast("int").alias("age_idx"))

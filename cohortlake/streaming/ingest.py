@@ -15,11 +15,20 @@ def streaming_cells(events: DataFrame, age: Column, is_case: Column, time: str =
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("period_start"), "age_idx", "population", "cases")
 
 
-def refit_on_batch(fit: Callable[[DataFrame], None]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that hands every batch of closed cells to ``fit``; empty batches are passed over."""
+def refit_on_batch(fit: Callable[[DataFrame], None], closed: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that hands closed cells to ``fit``; empty batches are passed over.
 
-    def run(batch: DataFrame, _: int) -> None:
-        if batch.limit(1).count():
+    With ``closed``, a path on shared storage, every batch is kept there under its number (a batch that is run again
+    replaces itself) and ``fit`` gets all cells closed so far; without it, the cells of the batch.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        if not batch.limit(1).count():
+            return
+        if closed is None:
             fit(batch)
+            return
+        batch.write.mode("overwrite").parquet(f"{closed}/batch={number}")
+        fit(batch.sparkSession.read.parquet(closed).drop("batch"))
 
     return run
