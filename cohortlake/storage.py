@@ -9,6 +9,7 @@ import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 FOLDER = "cohortlake-work"
 
@@ -42,14 +43,20 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def work_table(df: DataFrame, tag: str) -> DataFrame:
+def work_table(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once to shared storage and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_bytes(df: DataFrame, column: str) -> int:
+    """About the bytes of a column: what Spark knows of the files, or else a sum over the rows."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < 1 << 60 else int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Remove a folder of work files."""
     fs, p = _file_system(spark, path)
