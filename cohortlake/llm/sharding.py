@@ -6,7 +6,8 @@ that came out overfull are subdivided with splitters sampled inside them, and co
 into shards at the exact quantiles of the total size.
 
 Equal contents are neighbours in the key order and a splitter is placed in front of a whole content group, so copies
-stay in one shard; only a group that is itself overfull (it was drawn more than once by the sample) is cut, by row id.
+stay in one shard; only a group that is larger than a shard's share is cut, by row id.  Large groups that stay whole are
+dealt out first, the largest to the shard that has least; the other ranges fill, in key order, what is left of each shard.
 The row id is a hash of the id columns, so no group can pile up in one task.
 
 Only the sample, the splitters and one size per fine range reach the driver: 8 keys and one sum for each of at most
@@ -15,7 +16,6 @@ Only the sample, the splitters and one size per fine range reach the driver: 8 k
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,8 +55,8 @@ class Splitters:
 LEAST = -(1 << 63)
 
 
-def _splitters(sample: list[tuple[int, int, float]], n: int, old: list[tuple[int, int]] = ()) -> Splitters:
-    """Weighted quantiles of the sample; a hash chosen once cuts in front of its whole group, one chosen more often is cut by id."""
+def _splitters(sample: list[tuple[int, int, float]], n: int, old: list[tuple[int, int]] = (), cut: bool = False) -> Splitters:
+    """Weighted quantiles of the sample; a hash chosen once cuts in front of its whole group, one chosen more often is a range of its own, cut by id if told so."""
     sample = sorted(sample)
     if not sample:
         return Splitters(list(old))
@@ -68,13 +68,34 @@ def _splitters(sample: list[tuple[int, int, float]], n: int, old: list[tuple[int
     pairs = list(old)
     for h, ids in chosen.items():
         pairs.append((h, LEAST))
-        if len(ids) > 1:
+        if cut:
             pairs += [(h, d) for d in ids]
-            if h < (1 << 63) - 1:
-                pairs.append((h + 1, LEAST))
+        if len(ids) > 1 and h < (1 << 63) - 1:
+            pairs.append((h + 1, LEAST))
     return Splitters(pairs)
 
 
+def _packed(sums: dict[int, tuple], n_shards: int, large: float) -> tuple[dict[int, int], dict[int, int]]:
+    """The shard of each range and the first slot of it there; sums: size, rows, least and greatest hash of each range."""
+    total = sum(v[0] for v in sums.values())
+    load, of = [0] * n_shards, {}
+    for i in sorted((i for i, (s, n, lo, hi) in sums.items() if s > large and lo == hi), key=lambda i: (-sums[i][0], i)):
+        of[i] = min(range(n_shards), key=lambda k: (load[k], k))
+        load[of[i]] += sums[i][0]
+    rest = [i for i in sorted(sums) if i not in of]
+    room = np.cumsum([max(0.0, total / n_shards - x) for x in load])
+    room = room * (sum(sums[i][0] for i in rest) / room[-1]) if room[-1] > 0 else np.arange(1, n_shards + 1.0)
+    done = 0
+    for i in rest:
+        of[i] = min(n_shards - 1, int(np.searchsorted(room, done + sums[i][0] / 2, side="right")))
+        done += sums[i][0]
+    first, row = {}, [0] * n_shards
+    for i in sorted(sums):
+        first[i] = row[of[i]]
+        row[of[i]] += sums[i][1]
+    return of, first
+
+
 def _weighted_sample(keys: DataFrame, total: int, n: int, where: Column | None = None) -> list[tuple[int, int, float]]:
     """About ``n`` keys, each drawn with probability min(1, n * size / total); the weight restores its share.
 
@@ -122,9 +143,11 @@ def shard(df: DataFrame, size: Column, content: Column, row_id: Column, n_shards
         return df.withColumns({"shard": F.lit(0), "slot": F.lit(0).cast("long")})
     ranges = min(MOST_RANGES, max(ranges, 16 * n_shards, total // RANGE_BYTES))
     splitters = _splitters(_weighted_sample(slim, total, ranges * SAMPLE_PER_RANGE), ranges)
+    share, large = total / n_shards, 6 * total / ranges
     while True:  # each round adds splitters, of which there are no more than keys
-        sums = {r[0]: (r[1], r[2]) for r in _ranges_of(slim, splitters).groupBy("_cl_range").agg(F.sum("_cl_size"), F.count("*")).collect()}
-        full = {i: s for i, (s, n) in sums.items() if s > 6 * total / ranges and n > 1}
+        ends = (F.sum("_cl_size"), F.count("*"), F.min("_cl_h"), F.max("_cl_h"))
+        sums = {r[0]: tuple(r[1:]) for r in _ranges_of(slim, splitters).groupBy("_cl_range").agg(*ends).collect()}
+        full = {i: s for i, (s, n, lo, hi) in sums.items() if s > large and n > 1 and (lo != hi or s > share)}
         if not full:
             break
         found: list[tuple[int, int]] = list(splitters.pairs)
@@ -134,18 +157,11 @@ def shard(df: DataFrame, size: Column, content: Column, row_id: Column, n_shards
         for s in drawn:
             by.setdefault(int(splitters.locate(np.array([s[0]]), np.array([s[1]]))[0]), []).append(s)
         for i, sample in by.items():
-            found = _splitters(sample, max(2, int(full[i] * ranges / total) + 1), found).pairs
+            found = _splitters(sample, max(2, int(full[i] * ranges / total) + 1), found, sums[i][2] == sums[i][3]).pairs
         if len(set(found)) == len(splitters.pairs):
             break  # nothing left to cut: single keys
         splitters = Splitters(found)
-    # pack consecutive ranges at the exact quantiles of the total
-    cuts, done, offset, shard_of, slot_of, row = [total * (i + 1) / n_shards for i in range(n_shards)], 0, {}, {}, {}, {}
-    for i in sorted(sums):
-        s, n = sums[i]
-        k = min(n_shards - 1, bisect.bisect_right(cuts, done + s / 2))
-        shard_of[i], slot_of[i] = k, row.get(k, 0)
-        row[k] = row.get(k, 0) + n
-        done += s
+    shard_of, slot_of = _packed(sums, n_shards, large)
     spark = df.sparkSession
     plan = spark.createDataFrame([(i, shard_of[i], slot_of[i]) for i in shard_of], "_cl_range bigint, _cl_shard int, _cl_first bigint")
     out = _ranges_of(keyed, splitters).join(F.broadcast(plan), "_cl_range")  # one row a range: bounded by the parameter
