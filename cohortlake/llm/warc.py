@@ -94,13 +94,17 @@ def write_warc(pages: DataFrame, folder: str, min_payload: int = MIN_PAYLOAD) ->
     Of rows with equal payloads of at least ``min_payload`` bytes those with the largest page_id are responses and the
     others revisit it.  A null html is an empty payload; a null url is written as about:blank and stays null in the
     index; a null page_id counts as the smallest.  Rows that repeat the largest page_id are all responses.
+    page_id is a bigint; columns beyond the three are not looked at; an empty table gives an empty index.
     """
     spark = pages.sparkSession
     small_batches(spark)
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("_cl_sha"))
     # the largest id of each payload, from slim rows; partial maxima, so that a payload of many pages stays small
-    best = rows.groupBy("_cl_sha").agg(F.max("page_id").alias("_cl_best"), F.count("*").alias("_cl_n")).where("_cl_n > 1")
-    rows = rows.join(best, "_cl_sha", "left")
+    slim = rows.select("page_id", "_cl_sha")
+    best = slim.groupBy("_cl_sha").agg(F.max("page_id").alias("_cl_best"), F.count("*").alias("_cl_n")).where("_cl_n > 1")
+    # whole pages are joined by their own id, so that a payload of many pages makes no hot group of them
+    verdict = slim.join(best, "_cl_sha").select(F.col("page_id").alias("_cl_page"), F.col("_cl_sha").alias("_cl_key"), "_cl_best", "_cl_n").distinct()
+    rows = rows.join(verdict, F.col("page_id").eqNullSafe(F.col("_cl_page")) & (F.col("_cl_sha") == F.col("_cl_key")), "left")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name, out, offset = f"{folder}/part-{uuid.uuid4().hex}.warc.gz", None, 0
