@@ -11,69 +11,29 @@ Conventions that hold for every operator of this subpackage
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import drop_path, drop_work_table, release, stored_bytes, work_path, work_table  # noqa: F401
+
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 SPACE_RE = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-# --------------------------------------------------------------------------- work tables
-def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; only where that is unset, a temporary one of our own."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own_dir()
-    return base.rstrip("/")
-
-
-@functools.lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="cohortlake-")
-
-
-def work_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path on shared storage that is removed when the driver's JVM ends."""
-    path = f"{work_dir(spark)}/cohortlake-work/{uuid.uuid4().hex}/{tag}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p.getParent())
-    return path
-
-
-def work_table(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to shared storage and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_work_table(df: DataFrame) -> None:
-    """Remove the files of a work table that nothing will read again."""
-    spark = df.sparkSession
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cohortlake-work/" in folder:
-            p = jvm.org.apache.hadoop.fs.Path(folder)
-            p.getFileSystem(conf).delete(p, True)
-
-
+# --------------------------------------------------------------------------- tables
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows of an Arrow batch: document texts can be long."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -> None:
+    """Bound the rows and bytes of an Arrow batch for the session (plans run later than they are made): texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def n_shuffle(spark: SparkSession) -> int:
@@ -98,22 +58,9 @@ def ascii_lower(text: Column) -> Column:
 
 
 # --------------------------------------------------------------------------- hashing in Python workers
-class WordHash(dict):
-    """word (bytes) -> stable 64-bit hash, memoised; the memo is emptied when it holds ``limit`` words."""
-
-    def __init__(self, limit: int = 400_000) -> None:
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def hash_words(words: list[bytes], memo: WordHash) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), dtype=np.uint64, count=len(words))
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """Stable 64-bit hashes (hashing anew is faster than a dictionary of the words seen)."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
 
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -140,3 +87,50 @@ def shingle_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
         for j in range(1, k):
             h = mix64(h * np.uint64(3) + word_hashes[j : n - k + 1 + j])
     return h
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values (sorting is many times faster than np.unique without an index)."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
+class Overlaps:
+    """How many values each of many sets shares with another one, from one sorted list of all their values."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        order = np.argsort(values, kind="stable")
+        self.values, self.owner, self.n = values[order], owner[order], len(sets)
+
+    def with_set(self, own: np.ndarray) -> np.ndarray:
+        lo, hi = np.searchsorted(self.values, own, "left"), np.searchsorted(self.values, own, "right")
+        n = hi - lo
+        at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=self.n)
+
+
+# --------------------------------------------------------------------------- packing
+def squeeze(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def expand(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def pack_ints(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit integers, compressed byte by byte; high bytes that are all 0 are left out."""
+    c = np.array(columns, dtype="<i8")
+    most = int(c.max(initial=0)) if c.min(initial=0) >= 0 else -1
+    width = 8 if most < 0 else max(1, (most.bit_length() + 7) // 8)
+    planes = c.view(np.uint8).reshape(len(columns), -1, 8)[:, :, :width]
+    return bytes([width]) + squeeze(np.ascontiguousarray(planes.transpose(0, 2, 1)).tobytes())
+
+
+def unpack_ints(packed: bytes, columns: int) -> np.ndarray:
+    width = packed[0]
+    planes = np.frombuffer(expand(packed[1:]), dtype=np.uint8).reshape(columns, width, -1)
+    out = np.zeros((columns, planes.shape[2], 8), dtype=np.uint8)
+    out[:, :, :width] = planes.transpose(0, 2, 1)
+    return out.view("<i8").reshape(columns, -1).astype(np.int64, copy=False)
