@@ -44,10 +44,19 @@ def test_line_dedup(docs, empty):
 def test_line_dedup_without_broadcast(docs, monkeypatch):
     a = line_dedup.dedup_lines(docs).collect()
     monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(line_dedup, "BROADCAST_KEYS", 0)
     key = lambda r: (r.doc_id is None, r.doc_id, r.text)
     assert sorted(a, key=key) == sorted(line_dedup.dedup_lines(docs).collect(), key=key)
 
 
+def test_owners_hold_back_what_occurs_once(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    line = "a line of forty characters and more, number {}"
+    df = spark.createDataFrame([(i, line.format(i) + "\n" + line.format(f"shared {i // 2}")) for i in range(2000)], "doc_id bigint, text string").repartition(7)
+    found = line_dedup.suspects(df, 40).distinct().count()
+    assert 2000 <= found < 2000 + 200
+
+
 def test_bloom_has_no_false_negatives():
     h = np.random.default_rng(1).integers(0, 1 << 63, 5000).astype(np.uint64)
     b = line_dedup.Bloom(1 << 16)
@@ -65,7 +74,11 @@ def test_sharding(docs, empty):
         by[r.shard].append(r.slot)
         size[r.shard] += len((r.text or "").encode()) + 1
     assert all(sorted(v) == list(range(len(v))) for v in by.values()) and set(by) == set(range(4))
-    assert max(size.values()) < 1.5 * sum(size.values()) / 4
+    assert max(size.values()) < 1.2 * sum(size.values()) / 4
+    copies = defaultdict(set)
+    for r in out:
+        copies[r.text].add(r.shard)
+    assert all(len(v) == 1 for v in copies.values())
     assert sharding.shard_documents(empty).count() == 0
     again = sharding.shard_documents(docs.repartition(2), 4).collect()
     assert Counter((r.doc_id, r.text, r.shard) for r in out) == Counter((r.doc_id, r.text, r.shard) for r in again)
@@ -78,6 +91,17 @@ def test_sharding_splits_an_overfull_group(spark):
     assert min(sizes.values()) > 250 and max(sizes.values()) < 500
 
 
+def test_sharding_keeps_groups_whole(spark):
+    """Groups of up to a shard's share stay in one shard, and shards stay near equal."""
+    text = lambda i: f"group {i % 40} " + "x" * 200 if i < 6000 else "big " * 60 if i < 6600 else f"lone {i} " + "y" * 190
+    df = spark.createDataFrame([(i, text(i)) for i in range(12000)], "doc_id bigint, text string")
+    where, size = defaultdict(set), Counter()
+    for r in sharding.shard_documents(df).collect():
+        where[r.text].add(r.shard)
+        size[r.shard] += len(r.text) + 1
+    assert all(len(v) == 1 for v in where.values()) and max(size.values()) < 1.05 * min(size.values())
+
+
 def test_water_fill():
     t = mixing.water_fill([10, 10, 100, 0], [1, 2, 3, 1])
     assert sum(t) == 120 and all(x <= 3 * s for x, s in zip(t, [10, 10, 100, 0])) and t[3] == 0 and t[0] == Fraction(22.5) and t[1] == 30
@@ -100,11 +124,34 @@ def test_mixing(docs, empty):
         taken[r.source] += n * len(r.copies)
         target[r.source] = r.target
     assert all(abs(taken[s] - t) <= 30 + 0.05 * t for s, t in target.items()), (taken, target)
+    again = mixing.plan_mix(docs.drop("copies").repartition(3), "source", n_words_of(docs["text"]), docs["doc_id"]).collect()
+    assert Counter(map(str, planned)) == Counter(map(str, again))
     mixed = mixing.mix_documents(docs)
     assert mixed.columns == docs.columns and max(Counter((r.doc_id, r.text) for r in mixed.where('doc_id between 20 and 59').collect()).values()) <= 3
     assert mixing.mix_documents(empty).count() == 0
 
 
+def test_mixing_cuts_crossing_blocks(spark, monkeypatch):
+    """Blocks of many rows are cut until few are left; repeated rows count each; the target is met to the last words."""
+    monkeypatch.setattr(mixing, "BLOCKS", 4)
+    monkeypatch.setattr(mixing, "FILL_ROWS", 20)
+    rows = [(i, "ab"[i % 5 == 0], 1 + i % 7) for i in range(4000)] + [(1, "a", 2)] * 300
+    df = spark.createDataFrame(rows, "doc_id bigint, source string, n int").withColumn("mix_shard", F.lit("x"))
+    out = mixing.plan_mix(df, "source", F.col("n"), F.col("doc_id")).collect()
+    taken = Counter()
+    for r in out:
+        taken[r.source] += r.n * len(r.copies)
+    assert len(out) == len(rows) and all(abs(taken[r.source] - r.target) <= 8 for r in out)
+    mixed = mixing.mix(df, "source", F.col("n"), F.col("doc_id"))
+    assert sorted(mixed.columns) == ["doc_id", "mix_order", "mix_shard", "n", "pass", "source"] and mixed.count() == sum(len(r.copies) for r in out)
+
+
+def test_mixed_rows_come_in_the_order_of_the_mix(spark):
+    df = spark.createDataFrame([(i, "abc"[i % 3], f"text {i}") for i in range(500)], "doc_id bigint, source string, text string")
+    plan = mixing.mix_documents(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [mix_shard" in plan and "RepartitionByExpression [mix_shard" in plan
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/ü x", "same"), (2, None, "same"), (3, "http://c", ""), (4, "http://d", None), (5, "http://e", "é\r\n\r\nWARC/1.1"), (None, "http://n", "same"), (5, "http://e", "é\r\n\r\nWARC/1.1")]
     pages = spark.createDataFrame([(*r, 9) for r in rows], "page_id bigint, url string, html string, digest int")
@@ -128,12 +175,15 @@ def test_warc_round_trip(spark):
 
 
 def test_chat(spark):
-    turns = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, None, None), (4, 0, "user", "hi"), (4, 1, "bot", "no <|end|>"), (5, 1, "bot", "no <|end|>"), (5, 0, "user", "hi"), (None, None, "user", "alone"), (6, 0, "user", "hi"), (6, 0, "user", "hi")]
+    turns = [(1, 0, "user", "hi"), (1, 1, "bot", "yo"), (2, 0, "user", "hi"), (3, 0, "user", "hi"), (3, 1, "bot", "yo"), (3, 2, None, None), (4, 0, "user", "hi"), (4, 1, "bot", "no <|end|>"), (5, 1, "bot", "no <|end|>"), (5, 0, "user", "hi"), (None, None, "user", "alone"), (None, 3, "user", "alone"), (None, 1, "user", "hi"), (6, 0, "user", "hi"), (6, 0, "user", "hi")]
     df = spark.createDataFrame([(*t, "z", 1) for t in turns], "conv_id bigint, turn bigint, role string, text string, k string, h1 int")
     out = {r.conv_id: r for r in chat.format_chats(df).collect()}
     assert set(out) == {3, 4, None, 6} and out[4].n_logged == 2 and out[3].n_turns == 3 and out[6].n_turns == 2
     assert out[3].rendered.startswith("<|user|>\nhi\n<|end|>\n<|bot|>\nyo") and out[4].rendered.count("<|end|>") == 2
+    assert out[None].n_logged == 2 and out[None].rendered == "<|user|>\nalone\n<|end|>\n"
     assert chat.format_chats(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, 0, "user", "word " * 200_000), (1, 1, "bot", None)], "conv_id bigint, turn bigint, role string, text string")
+    assert len(chat.format_chats(long).first().rendered) > 1_000_000
 
 
 def test_chat_collapses_snapshots(spark):

@@ -1,5 +1,6 @@
 """Quality, near-duplicate, passage and leak operators against brute force and held-out labels."""
 
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -41,6 +42,15 @@ def test_statistics(docs, spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == stats(r.raw), r.doc_id
 
 
+def test_statistics_replace_columns_of_the_same_name(docs, empty):
+    named = docs.withColumns({c.upper(): F.lit("x") for c in quality_rules.COUNTS})
+    out = quality_rules.with_statistics(named)
+    assert [c for c in out.columns if c.lower() == "n_words"] == ["n_words"] and out.where("n_words is null").count() == 0
+    assert quality_rules.with_statistics(empty).count() == 0
+    kept, _ = quality_rules.classify(named.withColumns({"quality": F.lit("y"), "base_failed": F.lit(1)}), docs.select("doc_id").distinct().withColumn("quality", F.lit(1)))
+    assert kept.count() == docs.count()
+
+
 def test_rules_separate_and_keep_good(spark):
     rows = [(i, " ".join(["word%d" % (j * i % 97) for j in range(80)]) + (" ###" * 30 if i % 5 == 0 else "")) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -118,26 +128,97 @@ def test_classifier_edges(docs, empty, spark):
     assert language_model.classify(empty, labels).count() == 0
 
 
-def test_model_sums_to_one(spark):
-    """Probabilities of all tokens after a history add up to 1, in every order that the history reaches."""
-    rng = np.random.default_rng(1)
-    grams = Counter()
-    for _ in range(300):
-        t = [language_model.START] * 2 + list(rng.integers(190, 200, 8)) + [language_model.END]
-        for a, b, c in zip(t, t[1:], t[2:]):
-            grams[int(a) << 18 | int(b) << 9 | int(c)] += 1
-    m = language_model.KneserNey(spark.createDataFrame(list(grams.items()), "gram bigint, n bigint"))
-    for h in (195 << 9 | 191, 195 << 9 | 7, 2 << 9 | 2):
-        every = spark.createDataFrame([(h << 9 | w,) for w in range(512) if w != language_model.START], "gram bigint")
-        total = m.log_probabilities(every).agg(F.sum(F.exp("lp"))).first()[0]
-        assert abs(total - 1) < 1e-6, (h, total)
+def plain_kneser_ney(trusted):
+    """An interpolated modified Kneser-Ney trigram model in dictionaries: a function of a text's perplexity, and probabilities."""
+    lm = language_model
+
+    def events(text):
+        words = text.encode().split()
+        out, x, y = [], "<s>", "<s>"
+        for i, w in enumerate([*words, None]):
+            same = 0 < i < len(words) and words[i] == words[i - 1]
+            run = same and i > 1 and words[i - 1] == words[i - 2]
+            z = "</s>" if w is None else "<run>" if run else "<repeat>" if same else w
+            own = lm.END if w is None else lm.shape_class(w)
+            shape = lm.RUN if run else lm.REPEAT if same else own
+            out.append((x, y, z, w, shape, own))
+            x, y = y, w
+        return out
+
+    c3 = Counter((x, y, z) for t in trusted for x, y, z, *_ in events(t))
+    c2 = Counter((y, z) for x, y, z in c3)
+    c1 = Counter(z for y, z in c2)
+    tokens, shape_of = Counter(), {}
+    for t in trusted:
+        for _, _, z, _, shape, _ in events(t):
+            tokens[z] += 1
+            shape_of[z] = shape
+
+    def discounts(c):
+        n = [sum(v == i for v in c.values()) for i in (1, 2, 3, 4)]
+        y = n[0] / (n[0] + 2 * n[1]) if n[0] and n[1] else 0.5
+        return [0.0] + [min(max(i - (i + 1) * y * n[i] / n[i - 1] if n[i - 1] else i * 0.5, 0.05), i - 0.05) for i in (1, 2, 3)]
+
+    d = {3: discounts(c3), 2: discounts(c2), 1: discounts(c1)}
+    h3, h2 = {}, {}
+    for (x, y, _), n in c3.items():
+        h3.setdefault((x, y), []).append(n)
+    for (y, _), n in c2.items():
+        h2.setdefault(y, []).append(n)
+    fresh = [0.5] * lm.CLASSES
+    for z, n in tokens.items():
+        fresh[shape_of[z]] += n == 1
+    base = [v / sum(fresh) / (1 + len(tokens)) for v in fresh]
+    one = sum(c1.values())
+    rest = sum(d[1][min(n, 3)] for n in c1.values()) / one
+
+    def word(z, shape):
+        n = c1.get(z, 0)
+        return (n - d[1][min(n, 3)]) / one + rest * base[shape]
+
+    def probability(x, y, z, shape):
+        p = word(z, shape)
+        for k, n, have in ((2, c2.get((y, z), 0), h2.get(y)), (3, c3.get((x, y, z), 0), h3.get((x, y)))):
+            if have:
+                p = (n - d[k][min(n, 3)]) / sum(have) + sum(d[k][min(v, 3)] for v in have) / sum(have) * p
+        return p
+
+    def perplexity(text):
+        total = 0.0
+        for x, y, z, w, shape, own in (e := events(text)):
+            total += math.log(probability(x, y, z, shape))
+            if shape <= lm.REPEAT:
+                total += math.log(word(w, own))
+        return math.exp(-total / len(e))
+
+    return perplexity, probability, c1, shape_of
+
+
+def test_perplexity_is_that_of_a_plain_model(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 4))) for _ in range(60)] + ["A1,", "42", "Ää!", "##"]
+    text = lambda n: " ".join(words[int(len(words) * rng.random() ** 2)] for _ in range(n))
+    trusted = [text(rng.randint(1, 60)) for _ in range(80)] + ["so so so so so it is", "a"]
+    others = [text(30) for _ in range(30)] + ["never seen words HERE 17 x#y", "it it it it", "a", "\t so  so\n it is ", " ".join(words * 5)]
+    perplexity, probability, c1, shape_of = plain_kneser_ney(trusted)
+    model = language_model.train(spark.createDataFrame([(t,) for t in trusted], "text string"), passes=2)
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(trusted + others)], "doc_id bigint, text string").repartition(3)
+    for options in ({}, {"groups": 3}):
+        got = {r.doc_id: r.perplexity for r in language_model.perplexities(rows, model, **options).collect()}
+        for i, t in enumerate(trusted + others):
+            assert got[i] == pytest.approx(perplexity(t), rel=1e-9), t
+    seen = sum(probability("<s>", "<s>", z, shape_of[z]) for z in c1)
+    assert 0.5 < seen < 1
+    language_model.forget(model)
 
 
 def test_packing():
-    g = np.unique(np.random.default_rng(0).integers(0, 1 << 27, 1000))
-    assert (language_model.unpack(language_model.pack(g)) == g).all()
-    lp = -np.linspace(0, 20, 50)
-    assert np.abs(language_model.unpack_logs(language_model.pack_logs(lp)) - lp).max() < 1e-3
+    g = np.unique(np.random.default_rng(0).integers(0, 1 << 48, 1000))
+    assert (language_model.unpack_ids(language_model.pack_ids(g)) == g).all()
+    c = np.random.default_rng(1).integers(-(1 << 62), 1 << 62, (3, 50))
+    assert (language_model.unpack_ints(language_model.pack_ints(*c), 3) == c).all()
+    s = language_model.shard_of(g, 70_000)
+    assert s.min() >= 0 and s.max() < 70_000 and (np.diff(s) >= 0).all()
 
 
 def find(parent, x):
@@ -261,22 +342,59 @@ def test_passages_of_many_variants(spark, monkeypatch, per_group):
     assert len(got) >= 0.99 * len(rows) and all(r.class_id == i // 1000 * 1000 for i, r in got.items())
 
 
-def test_edited_passages_meet(spark):
-    """Lone pairs of a 50-word passage with one changed word fall into a group."""
+def test_edited_passages_are_found(spark):
+    """Lone pairs of a 50-word passage with one changed word (similarity 0.8): recall, and no passage where there is none."""
     rng = np.random.default_rng(11)
     rows = []
-    for p in range(1500):
+    for p in range(600):
         w = [f"p{p}w{i}" for i in range(50)]
         v = list(w)
         v[int(rng.integers(5, 45))] = f"p{p}edit"
         for k, x in enumerate((w, v)):
             rows.append((2 * p + k, " ".join([f"p{p}a{k}b{i}" for i in range(80)] + x + [f"p{p}c{k}d{i}" for i in range(80)])))
-    windows = substring_dedup._emit_windows(spark.createDataFrame(rows, "doc_id bigint, text string"), 5, 50)
-    joined = substring_dedup._join_windows(windows).where("text != to")
-    assert joined.select(F.least("text", "to"), F.greatest("text", "to")).distinct().count() == 1500
-
-
-def test_leaks(spark, docs):
+    rows += [(5000 + i, " ".join([f"x{i}y{j}" for j in range(60)] + [f"line{j}" for j in range(30)] + [f"z{i}y{j}" for j in range(60)])) for i in range(100)]
+    got = {r.doc_id: r for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = [p for p in range(600) if 2 * p in got and 2 * p + 1 in got and got[2 * p].class_id == got[2 * p + 1].class_id == 2 * p]
+    assert len(found) >= 597 and all(80 <= s.start + 3 and s.end <= 133 for p in found for s in got[2 * p].spans)
+    assert not [i for i in got if i >= 5000]  # a common line of 30 words is no passage
+
+
+def test_near_duplicate_passages_against_brute_force(spark):
+    """All pairs of texts: a 50-word passage of one at similarity 0.8 or more to one of the other."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: [rng.choice(words) for _ in range(n)]
+    shared, rows = [text(70) for _ in range(8)], []
+    for i in range(120):
+        body = text(rng.randint(20, 90))
+        if i % 2:
+            p = list(shared[rng.randrange(8)])
+            for _ in range(rng.randint(0, 3)):
+                p[rng.randrange(len(p))] = rng.choice(words)
+            body += p
+        rows.append((i, " ".join(body + text(rng.randint(5, 60)))))
+
+    def shingles(t):
+        w = t.split()
+        return [hash(tuple(w[i : i + 5])) for i in range(len(w) - 4)]
+
+    def similar(a, b):  # runs of 46 shingles
+        for i in range(len(a) - 45):
+            x = set(a[i : i + 46])
+            if len(x & b[1]) >= 40:
+                for j in range(len(b[0]) - 45):
+                    y = b[0][j : j + 46]
+                    if 100 * len(x.intersection(y)) >= 80 * len(x.union(y)):
+                        return True
+        return False
+
+    sets = [(s := shingles(t), set(s)) for _, t in rows]
+    want = {i for i in range(120) for j in range(120) if i < j and similar(sets[i][0], sets[j]) for i in (i, j)}
+    got = {r.doc_id for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert want and len(got & want) >= 0.97 * len(want) and got <= {i for i in range(120) if i % 2}
+
+
+def test_leaks(spark):
     q = "In May Tom Miller had 31 red apples in 4 large boxes and sold 12 of them to Ann for 25 dollars before Tom Miller went home with 7 euros"
     other = q.replace("Tom Miller", "Eva Stone").replace("31", "48").replace("Ann", "Kim").replace("dollars", "cents")
     mixed = "In May Tom Miller had 31 red apples in 4 large boxes and sold 12 of them to Ann for 25 dollars before Eva Stone went home with 7 euros"
@@ -284,7 +402,8 @@ def test_leaks(spark, docs):
     df = spark.createDataFrame([(*r, 5) for r in rows], "doc_id bigint, text string, item_id int")
     items = spark.createDataFrame([(10, q, 1), (11, "too short", 1), (12, None, 1), (13, q, 2)], "item_id bigint, text string, doc_id int")
     out = decontaminate.find_leaks(df, items).collect()
-    assert Counter((r.doc_id, r.item_id) for r in out) == {(1, 10): 2, (1, 13): 2, (2, 10): 1, (2, 13): 1, (None, 10): 1, (None, 13): 1, **({(7, 10): 1, (7, 13): 1} if any(r.doc_id == 7 for r in out) else {})}
+    assert Counter((r.doc_id, r.item_id) for r in out) == {(1, 10): 2, (1, 13): 2, (2, 10): 1, (2, 13): 1, (None, 10): 1, (None, 13): 1, (7, 10): 1, (7, 13): 1}
+    assert {(r.n_slots, r.n_same) for r in out if r.doc_id == 7} == {(10, 9)}  # one of the ten slots in windows of three literals differs: still consistent enough
     left = decontaminate.decontaminate(df, items)
     assert left.columns == df.columns and {r.doc_id for r in left.collect()} >= {3, 4, 5, 6}
     assert decontaminate.find_leaks(df.limit(0), items).count() == 0 and decontaminate.find_leaks(df, items.limit(0)).count() == 0
@@ -299,6 +418,17 @@ def test_inconsistent_slots_are_no_leak(spark):
     assert {r.doc_id for r in out} == {1, 2}
 
 
+def test_an_inserted_word_does_not_reset_consistency(spark):
+    item = "Tom Miller gave some bread to all of the birds near the river and then Tom Miller walked home along the old road with an empty basket and a happy heart under the evening sky that was red and gold over the hills"
+    other = item.replace("Tom Miller gave", "Eve Stone gave").replace("Tom Miller walked", "Kim Young walked")
+    same = item.replace("Tom Miller", "Eve Stone")
+    wide = lambda t: t.replace("near the river", "near the wide river")
+    rows = [(1, item), (2, wide(item)), (3, wide(same)), (4, wide(other)), (5, other), (6, f"{item} {same}"), (7, "word " * 30_000 + wide(same))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = decontaminate.find_leaks(df, spark.createDataFrame([(1, item)], "item_id bigint, text string")).collect()
+    assert {r.doc_id for r in out} == {1, 2, 3, 6, 7}
+
+
 def test_leaks_without_broadcast(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
     d, b = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
