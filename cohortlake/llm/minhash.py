@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, WordHash, hash_words, mix64, shingle_hashes, small_batches, table, work_table
+from .common import GOLDEN, Overlaps, distinct, hash_words, mix64, shingle_hashes, small_batches, table, work_table
 from .components import components
 
 BANDS, ROWS = 28, 4
@@ -30,13 +30,13 @@ COORDINATES = BANDS * ROWS
 WIDTH, SIMILARITY = 5, 80  # words a shingle; percent
 CHUNK = 512
 PAIRS_PER_BUCKET = 512  # beyond it a bucket's last comparisons are made block by block
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 2 << 20
 
 
-def shingle_set(text: bytes | None, width: int, memo: WordHash) -> np.ndarray:
+def shingle_set(text: bytes | None, width: int) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text; empty without words."""
     words = text.lower().split() if text else []
-    return np.unique(shingle_hashes(hash_words(words, memo), width)) if words else np.empty(0, dtype=np.uint64)
+    return distinct(shingle_hashes(hash_words(words), width)) if words else np.empty(0, dtype=np.uint64)
 
 
 def node_id(shingles: np.ndarray) -> int:
@@ -78,11 +78,10 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     kept = [f for f in docs.schema.fields if f.name != "text"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = WordHash()
         for b in batches:
             nodes, counts, sigs = [], [], []
             for text in _column(b, "text").cast(pa.binary()).to_pylist():
-                s = shingle_set(text, width, memo)
+                s = shingle_set(text, width)
                 counts.append(len(s))
                 nodes.append(node_id(s) if len(s) else None)
                 sigs.append(signature(s).tobytes() if len(s) else None)
@@ -118,11 +117,10 @@ class Verifier:
         rows = self.docs.join(near, F.col("doc_id").eqNullSafe(F.col("_cl_rep"))).select("_cl_node", "text")
 
         def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            memo = WordHash()
             for b in batches:
                 nodes, sets = [], []
                 for node, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()):
-                    s = shingle_set(text, width, memo)
+                    s = shingle_set(text, width)
                     if len(s) and node_id(s) == node:  # a repeated doc_id may have other texts
                         nodes.append(node)
                         sets.append(s.tobytes())
@@ -175,11 +173,10 @@ class Verifier:
                 flat = [np.frombuffer(y, dtype=np.uint64) for y in all_.column("shingles").to_pylist()]
                 names, comps = all_.column("node").to_pylist(), all_.column("comp").to_pylist()
                 size = np.array([len(y) for y in flat])
-                start, stream = np.concatenate([[0], np.cumsum(size)[:-1]]), np.concatenate(flat)
+                overlaps = Overlaps(flat)
                 for node, comp, own in zip(*(odd_.column(c).to_pylist() for c in ("node_", "comp_", "set_"))):
                     s = np.frombuffer(own, dtype=np.uint64)
-                    at = np.minimum(np.searchsorted(s, stream), len(s) - 1)
-                    inter = np.add.reduceat((s[at] == stream).astype(np.int64), start)
+                    inter = overlaps.with_set(s)
                     for i in np.flatnonzero(100 * inter >= percent * (len(s) + size - inter)):
                         if comps[i] != comp:
                             found.setdefault((node, comps[i]), (node, names[i]))
