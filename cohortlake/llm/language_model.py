@@ -517,6 +517,13 @@ def _score(coded: DataFrame, model: KneserNey, groups: int) -> DataFrame:
             at, has = _positions(x, g)
             return [np.where(has, v[at], 0)[back] for v in of]
 
+        def within(some: np.ndarray, x: np.ndarray, g: np.ndarray, *of: np.ndarray) -> list[np.ndarray]:
+            """The same for some of g; 0 for the others."""
+            out = [np.zeros(len(g), v.dtype) for v in of]
+            for o, v in zip(out, find(x, g[some], *of)):
+                o[some] = v
+            return out
+
         def before(t: Tokens, after: list[np.ndarray], at_start: np.ndarray) -> list[np.ndarray]:
             """What follows the history of each token: what follows the n-gram that ends before it."""
             out = []
@@ -539,12 +546,17 @@ def _score(coded: DataFrame, model: KneserNey, groups: int) -> DataFrame:
                 new = new[~np.isin(new, t.ends)]
                 own[new] = t.shapes(new)
                 word, kind = n1[s], own[s]
-                n2, *after = find(low, t.pairs(), n, *follow)
+                # a bigram or history has words that were seen, a trigram a bigram and a history
+                known = n1 > 0
+                some = known.copy()
+                some[1:] &= known[:-1]
+                some[t.first] = known[t.first]
+                n2, *after = within(some, low, t.pairs(), n, *follow)
                 h3 = before(t, after, STARTS_ID)
                 # where a word is repeated the mark is predicted, and the word comes on top
                 n1[s], n2[s] = (find(low, g, n)[0] for g in (ids(1, z[s]), ids(2, y[s], z[s])))
                 own[s] = (z[s] - MARKS[0]).astype(np.int64)
-                lp = np.log(plain.probabilities(n1, own, (n2, h2), (find(high, t.trigrams(), n3)[0], h3)))
+                lp = np.log(plain.probabilities(n1, own, (n2, h2), (within((n2 > 0) & (h3[0] > 0), high, t.trigrams(), n3)[0], h3)))
                 lp[s] += np.log(plain.probabilities(word, kind))
             for lo, hi in zip(t.starts[:-1].tolist(), t.starts[1:].tolist()):
                 counts.append(max(0, hi - lo - 1))
