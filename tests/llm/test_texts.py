@@ -359,6 +359,26 @@ def test_edited_passages_are_found(spark):
     assert not [i for i in got if i >= 5000]  # a common line of 30 words is no passage
 
 
+def test_passages_do_not_depend_on_sizes(spark, monkeypatch):
+    """Every column of every row: what is frequent, how many texts a task joins and how many shards there are change nothing."""
+    rng = random.Random(8)
+    text = lambda n: [f"w{rng.randrange(900)}" for _ in range(n)]
+    base, line, rows = [text(120) for _ in range(3)], text(14), []
+    for i in range(90):
+        w = list(base[i % 3])
+        for _ in range(rng.randint(0, 12)):
+            w[rng.randrange(len(w))] = rng.choice(["x", "y", "z"]) + str(i)
+        w = w[: rng.randint(60, 120)]
+        rows.append((i, " ".join((text(30) if i % 4 else []) + w + (line if i % 2 else []) + text(rng.randint(0, 40)))))
+    rows += [(100 + i, " ".join(text(40) + line + text(40))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = lambda parts: sorted(substring_dedup.repeated_passages(docs.repartition(parts)).collect())
+    want = got(2)
+    for k, v in {"PAIRS_PER_GROUP": 0, "CHUNK_BYTES": 1 << 10, "SHARD_BYTES": 1 << 10}.items():
+        monkeypatch.setattr(substring_dedup, k, v)
+    assert got(7) == want and len(want) > 30 and not {r.doc_id for r in want} & set(range(100, 160))
+
+
 def test_near_duplicate_passages_against_brute_force(spark):
     """All pairs of texts: a 50-word passage of one at similarity 0.8 or more to one of the other."""
     rng = random.Random(21)
