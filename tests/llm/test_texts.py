@@ -379,6 +379,44 @@ def test_passages_do_not_depend_on_sizes(spark, monkeypatch):
     assert got(7) == want and len(want) > 30 and not {r.doc_id for r in want} & set(range(100, 160))
 
 
+def test_texts_of_a_family_are_fetched_by_group(spark):
+    """All pairs of 300 texts, one text with 1000 others, and lone pairs: each pair once, far fewer copies of texts than pairs, no large group."""
+    pairs = [(a, b) for a in range(300) for b in range(a)] + [(1000 + i, 999) for i in range(1000)] + [(5001 + 2 * i, 5000 + 2 * i) for i in range(50)]
+    df = spark.createDataFrame([(a, b, None) for a, b in pairs], "a bigint, b bigint, at array<struct<c_a:int,c_b:int>>")
+    got = substring_dedup._dealt(df).collect()
+    assert sorted((r.a, r.b) for r in got) == sorted(pairs)
+    texts = defaultdict(set)
+    for r in got:
+        texts[r.group] |= {r.a, r.b}
+    assert sum(map(len, texts.values())) < 300 * 12 + 1100 + 100 and max(map(len, texts.values())) < 4 * substring_dedup.BLOCK
+
+
+def test_anchors_against_all_pairs_of_windows():
+    """Pairs of texts with no, few and very many windows: each meets every other one that it overlaps with, however many lie between them."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for n in (0, 1, 60, 1800, 1800):
+        c = np.sort(rng.integers(0, 3 * n + 1, n))
+        key = np.sort(rng.choice(20_000 if n < 100 else 2500, n, replace=False) * 8 + rng.integers(0, 6, n)) if n else c
+        out = rng.choice([3, 30, 9000], n), rng.choice([3, 30, 9000], n)
+        texts.append(np.stack([key, rng.permutation(c), *[c] * 2]).astype(np.int64))
+        texts[-1][2:] = texts[-1][1] - out[0], texts[-1][1] + out[1]
+        texts[-1][2] = np.maximum(texts[-1][2], 0)
+    pairs = np.array([(a, b) for a in range(5) for b in range(5)]).T
+    some = 0
+    for (a, b), got in zip(pairs.T, substring_dedup._anchors(texts, pairs, 46)):
+        _, i, j = np.intersect1d(texts[a][0], texts[b][0], return_indices=True)
+        x, y = texts[a][:, i], texts[b][:, j]
+        good = (x[0] % 8)[:, None] != x[0] % 8
+        for _, c, lo, hi in (x, y):
+            left, right = np.maximum(lo[:, None], lo), np.minimum(hi[:, None], hi)
+            good &= (left <= np.minimum(c[:, None], c)) & (np.maximum(c[:, None], c) <= right) & (right - left + 1 >= 46)
+        good = good.any(axis=1)
+        assert got == sorted(set(zip(x[1][good].tolist(), y[1][good].tolist())))
+        some += len(got)
+    assert some > 1000
+
+
 def test_near_duplicate_passages_against_brute_force(spark):
     """All pairs of texts: a 50-word passage of one at similarity 0.8 or more to one of the other."""
     rng = random.Random(21)
